@@ -45,6 +45,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per author of a source, with its place in the field."""
+    from quillstrata.operators.multivalue import exploded_values
+
+    return exploded_values(table(spark, folder, "sources"), "id", "authors", "source_id", "author")
+
+
 #: Compared fields of both stores; origin and time apart, texts exactly, null as ''.
 COMPARED = {
     "projects": ("name", "description", "status", "created_at", "origin_host"),
@@ -106,5 +113,5 @@ SELECT '{tbl}' AS tbl, main_id, copy_id, unnest(list_filter(fields, lambda f: f
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
 ORACLES: dict[str, str] = {"p2_found": _p2_sql(), "p5_found": P5_SQL}
