@@ -33,15 +33,15 @@ from pyspark.sql import types as T
 # within a body's name, remarks that no more are named, and texts for "no value".
 STRONG = b";|\n\r\t"
 STRONG_WIDE = ("；", "·", "•", "、", " / ")
-WIDE_COMMAS = ("，",)
+WIDE_COMMA = "，"
 JOINING = (" and ", " und ", " & ")
 WITHIN_BODIES = (" of ", " for ", " on ", " für ")
 REMARK = r"^\(?(?:and |und |& |with )?(?:et\.? al(?:ii|iae|ia)?|and others|others|und andere|u\. ?a|and \d+ (?:more|others)|\d+ (?:more|others)|etc)\.?\)?$|^(?:\.\.\.|…)$"
 NO_VALUE = r"^(?:n/?a|n\.a\.?|none|null|nil|nan|unknown|tbd|todo|\(none\)|\(unknown\)|no authors?|not available|[-–—?._*/\s]*)$"
 
 
-def _places(data: np.ndarray, text: str) -> np.ndarray:
-    """Mask of the bytes at which ``text`` begins."""
+def _places(data: np.ndarray, row: np.ndarray, text: str) -> np.ndarray:
+    """Mask of the bytes at which ``text`` begins; it lies within one row."""
     raw = text.encode()
     if len(data) < len(raw):
         return np.zeros(len(data), bool)
@@ -49,7 +49,7 @@ def _places(data: np.ndarray, text: str) -> np.ndarray:
     inner = np.ones(len(data) - len(raw) + 1, bool)
     for i, byte in enumerate(raw):
         inner &= data[i : len(data) - len(raw) + 1 + i] == byte
-    hit[: len(inner)] = inner
+    hit[: len(inner)] = inner & (row[: len(inner)] == row[len(raw) - 1 :])
     return hit
 
 
@@ -81,7 +81,7 @@ def _last_before(mask: np.ndarray) -> np.ndarray:
 
 def split_packed(texts: pa.Array) -> pa.ListArray:
     """Lists of the values of each text; null, blank and "no value" texts give empty lists."""
-    texts = pc.fill_null(texts.cast(pa.string()), "")
+    texts = pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), WIDE_COMMA, ",")
     n = len(texts)
     _, offset_buffer, data_buffer = texts.buffers()
     offsets = np.frombuffer(offset_buffer, np.int32, n + 1, texts.offset * 4).astype(np.int64) if n else np.zeros(1, np.int64)
@@ -129,7 +129,7 @@ def split_packed(texts: pa.Array) -> pa.ListArray:
 
     strong = free & np.isin(data, np.frombuffer(STRONG, np.uint8))
     for text in STRONG_WIDE:
-        strong |= _spread(_places(data, text) & free, len(text.encode()))
+        strong |= _spread(_places(data, row, text) & free, len(text.encode()))
     digit = (data >= 48) & (data <= 57)
     for k in (1, 2, 3):  # (1), (12), (123)
         if total > k + 1:
@@ -138,29 +138,24 @@ def split_packed(texts: pa.Array) -> pa.ListArray:
             for i in range(1, k + 1):
                 at[: total - i] &= digit[i:]
             strong |= _spread(at & free, k + 2)
-    remark = _places(lower, " et al") & free
+    remark = _places(lower, row, " et al") & free
     strong |= _spread(remark & _ends_word(data, row, len(" et al")), len(" et al"))
     comma = (data == 44) & free
-    for text in WIDE_COMMAS:
-        comma |= _places(data, text) & free
     cut |= strong | comma & enclosing[row]
 
     joining = np.zeros(total, bool)
-    wide = np.zeros(total, bool)
     for text in JOINING:
-        at = _places(lower, text) & free
-        joining |= at
-        wide |= _spread(at, len(text))
+        joining |= _places(lower, row, text) & free
     inside = np.zeros(total, bool)
     for text in WITHIN_BODIES:
-        inside |= _places(lower, text) & free
+        inside |= _places(lower, row, text) & free
     row_start = np.zeros(total, bool)
     row_start[offsets[:-1][lengths > 0]] = True
     barrier = np.maximum(_last_before(cut | comma | row_start), _last_before(joining))
     own = joining & (_last_before(inside) > barrier)  # part of a body's name
     separating = joining & ~own
     for text in JOINING:
-        cut |= _spread(_places(lower, text) & separating, len(text))
+        cut |= _spread(_places(lower, row, text) & separating, len(text))
 
     cut |= _commas_between_values(data, row, cut, comma & ~enclosing[row], blank)
     starts, ends = _runs(cut, row)
