@@ -13,6 +13,34 @@ from quillstrata.sources.tables import table
 REFERENCE_SALTS = {"projects": 8, "concepts": 8, "observations": 1}
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Times and dates of many kinds in one unambiguous form."""
+    from quillstrata.functions.instants import is_exact_date, is_exact_instant, read_date, read_instant
+    from quillstrata.operators.timestamps import chosen_readings
+
+    # the declarations of the hosts: a fixed table, one row a host
+    declared = table(spark, folder, "hosts").select("origin_host", "tz", "date_order").limit(MOST_HOSTS + 1).collect()
+    if len(declared) > MOST_HOSTS:
+        raise ValueError(f"more than {MOST_HOSTS} hosts")
+    conventions = {r.origin_host: (r.tz or "UTC", r.date_order or "dmy") for r in declared if r.origin_host is not None}
+    parts = [
+        table(spark, folder, name).select(
+            F.lit(name).alias("tbl"), F.col("origin_host").alias("source"), order.alias("seq"), F.col(row_id).alias("row_id"), F.col(text).alias("text")
+        )
+        for name, row_id, order, text in (
+            ("observation_records", "rec_no", F.unix_micros("received_at"), "created_at"),
+            ("source_records", "rec_no", F.unix_micros("received_at"), "first_seen_at"),
+            ("sources", "id", F.col("id"), "published_date"),
+        )
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    times, dates = (read_instant, is_exact_instant), (read_date, is_exact_date)
+    return chosen_readings(
+        rows, F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), conventions,
+        {"observation_records": times, "source_records": times, "sources": dates},
+    )
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references per table, field and month."""
     from quillstrata.operators.references import orphan_references
@@ -52,6 +80,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return exploded_values(table(spark, folder, "sources"), "id", "authors", "source_id", "author")
 
 
+#: Hosts are few by nature; their declarations are given to every task.
+MOST_HOSTS = 10_000
+
 #: Compared fields of both stores; origin and time apart, texts exactly, null as ''.
 COMPARED = {
     "projects": ("name", "description", "status", "created_at", "origin_host"),
@@ -113,5 +144,5 @@ SELECT '{tbl}' AS tbl, main_id, copy_id, unnest(list_filter(fields, lambda f: f
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 ORACLES: dict[str, str] = {"p2_found": _p2_sql(), "p5_found": P5_SQL}
