@@ -105,6 +105,35 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+#: Columns of the consistent tables, by what the name of a series begins with.
+DRIFT_DECLARED = {
+    "projects": ("uuid", "origin_host", "name", "description", "status", "created_at"),
+    "concepts": ("uuid", "origin_host", "name", "description", "identifier_type", "identifier_value", "created_at"),
+}
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of top-level fields between the files of a series."""
+    from quillstrata.operators.drift import schema_changes, schema_trees
+
+    changes = schema_changes(schema_trees(table(spark, folder, "drift_records").select("series", "file_no", "payload")))
+    top = changes.where("depth = 1")
+    moved_away = top.where("change = 'moved'").select("series", "file_no", F.lit("removed").alias("change"), "field", F.lit("").alias("new_value"))
+    moved_up = changes.where("change = 'moved' AND instr(new_value, '.') = 0").select(
+        "series", "file_no", F.lit("added").alias("change"), F.col("new_value").alias("field"), F.lit("").alias("new_value")
+    )
+    return top.where("change <> 'moved'").drop("depth").unionByName(moved_away).unionByName(moved_up)
+
+
+def p6_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All valid lines of the export files in one consistent set of fields."""
+    from quillstrata.operators.drift import drift
+
+    _, rows = drift(table(spark, folder, "drift_records").select("rec_no", "series", "file_no", "payload"), DRIFT_DECLARED)
+    names = sorted({n for ns in DRIFT_DECLARED.values() for n in ns})
+    return rows.select("rec_no", "series", "file_no", *(F.try_element_at("fields", F.lit(n)).alias(n) for n in names), F.to_json(F.map_filter("fields", lambda k, _: ~k.isin(names))).alias("other_fields"))
+
+
 _KEY = "nullif(regexp_replace(regexp_replace(lower({0}), 'urn:|uuid:', '', 'g'), '[^0-9a-z]', '', 'g'), '')"
 
 P5_SQL = f"""
@@ -144,5 +173,5 @@ SELECT '{tbl}' AS tbl, main_id, copy_id, unnest(list_filter(fields, lambda f: f
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_table": p6_table}
 ORACLES: dict[str, str] = {"p2_found": _p2_sql(), "p5_found": P5_SQL}
