@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from quillstrata.sources.tables import table
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of each document."""
+    from quillstrata.llm.bpe import token_ids
+
+    return token_ids(table(spark, folder, "documents"))
+
+
+QUERIES = {"p7_ids": p7_ids}
 ORACLES: dict[str, str] = {}
