@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstrata.sources.tables import table
 
@@ -14,5 +15,25 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_ids(table(spark, folder, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    from quillstrata.llm.language import fit, language_segments
+
+    documents = table(spark, folder, "documents")
+    return language_segments(documents, fit(documents))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Right languages of documents with a missing or wrong label, and the stretches of mixed ones."""
+    found = _segments(spark, folder)
+    wrong = (F.col("seg_no") == 0) & ~F.col("lang").eqNullSafe(F.col("label"))
+    # a document that mixes languages has at least two stretches: each one says so itself
+    return found.where(wrong | (F.col("seg_no") > 0) & (F.col("segments") > 1)).select("doc_id", "seg_no", "lang")
+
+
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and confidence of every document (seg_no 0) and of each stretch."""
+    return _segments(spark, folder).select("doc_id", "seg_no", "begin", "end", "lang", "confidence")
+
+
+QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_segments": p9_segments}
 ORACLES: dict[str, str] = {}
