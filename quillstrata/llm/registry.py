@@ -5,9 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstrata.functions.text import fold_accents, uuid_key
 from quillstrata.sources.tables import table
 
 
+#: Trust of hosts that are not declared: the least.
+LEAST_TRUST = 1_000_000
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Surviving descriptions and identifiers of the groups of projects, concepts and concept records."""
+    from quillstrata.llm.components import components
+    from quillstrata.llm.survivors import counts_as_value, survivors, without_cut_mark
+    from quillstrata.session import materialise
+
+    hosts = table(spark, folder, "hosts").select("origin_host", "trust").dropDuplicates(["origin_host"])
+
+    def ranked(rows: DataFrame, at: str) -> DataFrame:
+        # hosts are a fixed table of a dozen rows; latest first, no time last
+        trusted = rows.join(hosts, "origin_host", "left")
+        return trusted.withColumn("trust", F.coalesce(F.col("trust").cast("long"), F.lit(LEAST_TRUST))).withColumn("age", F.coalesce(-F.unix_micros(at), F.lit((1 << 62))))
+
+    rank = [F.col("trust"), F.col("age")]
+    described = {"description": (F.col("description"), without_cut_mark(F.col("description")), {"description": F.col("description")})}
+    out = None
+    for tbl, at in (("projects", "updated_at"), ("concepts", "created_at")):
+        name_key = F.nullif(F.regexp_replace(F.lower(fold_accents(F.col("name"))), r"[^\p{L}\p{N}]", ""), F.lit(""))
+        rows = ranked(table(spark, folder, tbl).select(F.col("id").alias("row_id"), name_key.alias("grp"), "description", "origin_host", at), at)
+        found = survivors(rows, described, rank).select(F.lit(tbl).alias("tbl"), "group_id", "field", "row_id")
+        out = found if out is None else out.unionByName(found)
+
+    kind = F.regexp_replace(F.lower("identifier_type"), r"[^a-z0-9]", "")
+    plain = F.regexp_replace(F.lower("identifier_value"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    bare = F.regexp_replace(plain, r"^(?:[a-z]+://[^/]*/(?:[a-z]+/)?|[a-z]+:\s*)", "")
+    written = F.regexp_replace(bare, r"[^a-z0-9]", "")
+    whole = counts_as_value(F.col("identifier_value")) & ~plain.rlike(r"(?:…|\.\.\.)$") & (kind != "")
+    records = table(spark, folder, "concept_records").select(
+        F.col("rec_no").alias("row_id"),
+        F.coalesce(uuid_key(F.col("uuid")), F.lit("")).alias("u"),
+        F.when(whole & (written != ""), F.concat(kind, F.lit("|"), written)).otherwise(F.lit("")).alias("i"),
+        "description", "identifier_type", "identifier_value", "origin_host", "received_at",
+    )
+    # copies with the same two keys are one pair; a key's node is the least row that has it
+    pairs = materialise(records.where("u <> '' OR i <> ''").groupBy("u", "i").agg(F.min("row_id").alias("m")), "pairs")
+    by_uuid = pairs.where("u <> ''").groupBy("u").agg(F.min("m").alias("mu"))
+    by_identifier = pairs.where("i <> ''").groupBy("i").agg(F.min("m").alias("mi"))
+    noded = materialise(pairs.join(by_uuid, "u", "left").join(by_identifier, "i", "left").select("u", "i", F.coalesce("mu", "mi").alias("a"), F.coalesce("mi", "mu").alias("b")), "nodes")
+    found = components(noded)
+    placed = noded.join(found.withColumnRenamed("node", "a"), "a").select("u", "i", F.col("component").cast("string").alias("grp"))
+    rows = ranked(records.join(placed, ["u", "i"], "left"), "received_at")
+    bundles = described | {
+        "identifier_value": (F.col("identifier_value"), written, {"identifier_value": F.col("identifier_value"), "identifier_type": F.col("identifier_type")})
+    }
+    return out.unionByName(survivors(rows, bundles, rank).select(F.lit("concept_records").alias("tbl"), "group_id", "field", "row_id"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of each document."""
     from quillstrata.llm.bpe import token_ids
@@ -15,6 +67,21 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_ids(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the test items leaked into them."""
+    from quillstrata.llm.leakage import leaked_items
+
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that are left once the affected ones are removed."""
+    from quillstrata.llm.leakage import leaked_items, without_leaks
+
+    documents = table(spark, folder, "documents")
+    return without_leaks(documents, leaked_items(documents, table(spark, folder, "eval_items"))).select("doc_id", "lang", "source", "kind", "n_chars")
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     from quillstrata.llm.language import fit, language_segments
 
@@ -35,5 +102,5 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).select("doc_id", "seg_no", "begin", "end", "lang", "confidence")
 
 
-QUERIES = {"p7_ids": p7_ids, "p9_found": p9_found, "p9_segments": p9_segments}
+QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_segments": p9_segments}
 ORACLES: dict[str, str] = {}
