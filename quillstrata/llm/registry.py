@@ -21,19 +21,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
     hosts = table(spark, folder, "hosts").select("origin_host", "trust").dropDuplicates(["origin_host"])
 
-    def ranked(rows: DataFrame, at: str) -> DataFrame:
-        # hosts are a fixed table of a dozen rows; latest first, no time last
-        trusted = rows.join(hosts, "origin_host", "left")
-        return trusted.withColumn("trust", F.coalesce(F.col("trust").cast("long"), F.lit(LEAST_TRUST))).withColumn("age", F.coalesce(-F.unix_micros(at), F.lit((1 << 62))))
-
-    rank = [F.col("trust"), F.col("age")]
-    described = {"description": (F.col("description"), without_cut_mark(F.col("description")), {"description": F.col("description")})}
-    out = None
+    parts = []
     for tbl, at in (("projects", "updated_at"), ("concepts", "created_at")):
         name_key = F.nullif(F.regexp_replace(F.lower(fold_accents(F.col("name"))), r"[^\p{L}\p{N}]", ""), F.lit(""))
-        rows = ranked(table(spark, folder, tbl).select(F.col("id").alias("row_id"), name_key.alias("grp"), "description", "origin_host", at), at)
-        found = survivors(rows, described, rank).select(F.lit(tbl).alias("tbl"), "group_id", "field", "row_id")
-        out = found if out is None else out.unionByName(found)
+        none = F.lit(None).cast("string")
+        parts.append(
+            table(spark, folder, tbl).select(
+                F.col("id").alias("row_id"), F.concat(F.lit(f"{tbl}|"), name_key).alias("grp"), "description", "origin_host",
+                F.unix_micros(at).alias("at"), none.alias("identifier_type"), none.alias("identifier_value"), none.alias("written"),
+            )
+        )
 
     kind = F.regexp_replace(F.lower("identifier_type"), r"[^a-z0-9]", "")
     plain = F.regexp_replace(F.lower("identifier_value"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
@@ -44,7 +41,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
         F.col("rec_no").alias("row_id"),
         F.coalesce(uuid_key(F.col("uuid")), F.lit("")).alias("u"),
         F.when(whole & (written != ""), F.concat(kind, F.lit("|"), written)).otherwise(F.lit("")).alias("i"),
-        "description", "identifier_type", "identifier_value", "origin_host", "received_at",
+        "description", "identifier_type", "identifier_value", written.alias("written"), "origin_host", "received_at",
     )
     # copies with the same two keys are one pair; a key's node is the least row that has it
     pairs = materialise(records.where("u <> '' OR i <> ''").groupBy("u", "i").agg(F.min("row_id").alias("m")), "pairs")
@@ -53,11 +50,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     noded = materialise(pairs.join(by_uuid, "u", "left").join(by_identifier, "i", "left").select("u", "i", F.coalesce("mu", "mi").alias("a"), F.coalesce("mi", "mu").alias("b")), "nodes")
     found = components(noded)
     placed = noded.join(found.withColumnRenamed("node", "a"), "a").select("u", "i", F.col("component").cast("string").alias("grp"))
-    rows = ranked(records.join(placed, ["u", "i"], "left"), "received_at")
-    bundles = described | {
-        "identifier_value": (F.col("identifier_value"), written, {"identifier_value": F.col("identifier_value"), "identifier_type": F.col("identifier_type")})
-    }
-    return out.unionByName(survivors(rows, bundles, rank).select(F.lit("concept_records").alias("tbl"), "group_id", "field", "row_id"))
+    parts.append(
+        records.join(placed, ["u", "i"], "left").select(
+            "row_id", F.concat(F.lit("concept_records|"), F.col("grp")).alias("grp"), "description", "origin_host",
+            F.unix_micros("received_at").alias("at"), "identifier_type", "identifier_value", "written",
+        )
+    )
+    # one pipeline for the three tables; hosts are a fixed table of a dozen rows; latest first, no time last
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(hosts, "origin_host", "left")
+    rank = [F.coalesce(F.col("trust").cast("long"), F.lit(LEAST_TRUST)), F.coalesce(-F.col("at"), F.lit(1 << 62))]
+    bundles = {
+        "description": (F.col("description"), without_cut_mark(F.col("description")), {"description": F.col("description")}),
+        "identifier_value": (F.col("identifier_value"), F.col("written"), {"identifier_value": F.col("identifier_value"), "identifier_type": F.col("identifier_type")}),
+    }
+    return survivors(rows, bundles, rank).select(F.substring_index("grp", "|", 1).alias("tbl"), "group_id", "field", "row_id")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

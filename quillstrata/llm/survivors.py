@@ -187,7 +187,7 @@ def branch_and_bound(lists: Mapping[str, Sequence[tuple[Rank, int, dict]]], more
 
 
 def survivors(rows: DataFrame, bundles: Mapping[str, tuple[Column, Column, Mapping[str, Column]]], rank: Sequence[Column], dependencies: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Rows ``(group_id, field, row_id)``: for each group of two or more rows and each bundle the surviving donor.
+    """Rows ``(grp, group_id, field, row_id)``: for each group of two or more rows and each bundle the surviving donor.
 
     ``rows`` has ``grp`` (null: in no group) and ``row_id``; ``bundles`` gives
     by name (value, compared form, fields). Defined cases: groups of one give
@@ -202,5 +202,7 @@ def survivors(rows: DataFrame, bundles: Mapping[str, tuple[Column, Column, Mappi
     for name, (value, compared, fields) in bundles.items():
         part = distinct_values(grouped, name, value, compared, fields, rank)
         values = part if values is None else values.unionByName(part)
-    chosen = best_bundles(without_cut_off(values), dependencies)
-    return chosen.join(sizes, "grp").select(F.col("group_id").cast("long"), F.col("bundle").alias("field"), F.col("row_id").cast("long"))
+    # read four times over; and a group of very many copies has shrunk to its distinct values here
+    held = materialise(values, "values")
+    chosen = best_bundles(without_cut_off(held), dependencies)
+    return chosen.join(sizes, "grp").select("grp", F.col("group_id").cast("long"), F.col("bundle").alias("field"), F.col("row_id").cast("long"))
