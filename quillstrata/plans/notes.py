@@ -41,7 +41,7 @@ def _add(name: str, run: Callable[[Snapshot], DataFrame], sql: str | None, secon
 
 
 def _add2(name: str, run: Callable[[Snapshot, Snapshot], DataFrame], sql: str | None) -> None:
-    QUERIES[name] = lambda spark, folder: run(store_of(spark, folder), store_of(spark, folder, True))
+    QUERIES[name] = lambda spark, folder: run(store_of(spark, folder, pinned=True), store_of(spark, folder, True, pinned=True))
     if sql is not None:
         ORACLES[name] = f"WITH {store_sql()}, {store_sql(True, '2')} {sql}"
 
@@ -229,7 +229,7 @@ _FRESH = "CASE WHEN uuid = '' THEN 'new-' || md5(name) ELSE uuid END AS uuid"
 
 
 def _add_merge(name: str, run: Callable[[Snapshot, Snapshot], DataFrame], sql: str) -> None:
-    QUERIES[name] = lambda spark, folder: run(_unique(store_of(spark, folder)), _unique(store_of(spark, folder, True)))
+    QUERIES[name] = lambda spark, folder: run(_unique(store_of(spark, folder, pinned=True)), _unique(store_of(spark, folder, True, pinned=True)))
     first, second = store_sql(), store_sql(True, "2")
     for t in ("p", "c"):
         first = first.replace(f"\n{t} AS (", f"\n{t}_ AS (", 1).replace(f"\n{t}_ AS (", f"\n{t}_ AS (", 1)

@@ -7,18 +7,23 @@ carry the concepts of their decisions. An observation cites one source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.functions.text import or_empty, uuid_key
+from quillstrata.session import materialise
 from quillstrata.sources.store import SCHEMAS, Snapshot
 from quillstrata.sources.tables import table
 
 _KEY = "nullif(regexp_replace(regexp_replace(lower({0}), 'urn:|uuid:', '', 'g'), '[^0-9a-z]', '', 'g'), '')"
 
 
-def store_of(spark: SparkSession, folder: str, second: bool = False) -> Snapshot:
-    """The first store (projects, concepts) or the second (their copies)."""
+def store_of(spark: SparkSession, folder: str, second: bool = False, pinned: bool = False) -> Snapshot:
+    """The first store (projects, concepts) or the second (their copies).
+
+    ``pinned``: written to the shared folder first, as a store on disk is, for
+    operations that read its tables many times.
+    """
     tail = "_copy" if second else ""
 
     def plain(name: str, kind: str) -> DataFrame:
@@ -42,7 +47,7 @@ def store_of(spark: SparkSession, folder: str, second: bool = False) -> Snapshot
     linked = links.join(ids, "k").join(keys_c, "ck")
     last = sources.agg(F.max("id").alias("last"))
     cited = observations.select("id").crossJoin(F.broadcast(last)).select(F.col("id").alias("observation_id"), (1 + F.pmod(F.col("id") * 13, F.col("last"))).alias("source_id"))
-    return Snapshot(
+    store = Snapshot(
         projects=projects,
         observations=observations,
         concepts=concepts,
@@ -53,6 +58,15 @@ def store_of(spark: SparkSession, folder: str, second: bool = False) -> Snapshot
             "observation_id", "source_id", F.when(F.pmod("observation_id", F.lit(3)) == 0, "retrieved").otherwise("cited").alias("relationship")
         ),
     )
+    if pinned:
+        store = store.with_tables(observations=materialise(store.observations, "observations"))
+        linked = links.join(store.observations.select(F.col("id").alias("observation_id"), F.col("uuid").alias("k"), "project_id", "kind"), "k").join(keys_c, "ck")
+        linked = materialise(linked.select("observation_id", "concept_id", "project_id", "kind"), "links")
+        store = store.with_tables(
+            observation_concepts=linked.select("observation_id", "concept_id").distinct(),
+            project_concepts=linked.where("kind = 'decision' AND project_id IS NOT NULL").select("project_id", "concept_id").distinct(),
+        )
+    return store
 
 
 def _text(alias: str, kind: str) -> str:

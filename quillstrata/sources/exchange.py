@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.operators.reading import NotFound
 from quillstrata.operators.writing import _first, _numbered
+from quillstrata.session import materialise
 from quillstrata.sources.store import KINDS, SCHEMAS, STATES, Snapshot, completed
 
 # The record types in the order they depend on each other, with their fields.
@@ -133,8 +134,7 @@ def _named(local: DataFrame, incoming: DataFrame, table: str, now: Column) -> tu
     """Import by name: (grown table, map of the file's uuids to ids, new rows)."""
     new = _numbered(_first(incoming, "name").join(local.select("name"), "name", "left_anti"), local)
     new = new.withColumn("created_at", F.coalesce("created_at", now))
-    if table == "projects":
-        new = new.withColumn("updated_at", now)
+    new = materialise(completed(new.withColumn("updated_at", now), table), table)  # ids are given once
     grown = local.unionByName(completed(new, table))
     of_file = incoming.where("uuid <> ''").select("uuid", "name", "seq").join(grown.select("name", "id"), "name").groupBy("uuid").agg(F.max_by("id", "seq").alias("id"))
     return grown, of_file, new
@@ -172,6 +172,7 @@ def import_parsed(s: Snapshot, parsed: DataFrame, now: Column) -> tuple[Snapshot
     once = _first(fresh.where(whole), *pair).unionByName(fresh.where(~whole))
     once = _first(once.where("uuid <> ''"), "uuid").unionByName(once.where("uuid = ''"))
     new_sources = _numbered(once, s.sources).withColumn("first_seen_at", F.coalesce("first_seen_at", now)).withColumn("last_checked_at", now)
+    new_sources = materialise(completed(new_sources, "sources"), "sources")
     sources = s.sources.unionByName(completed(new_sources, "sources"))
     grown_pair = sources.where(whole).groupBy(*pair).agg(F.min("id").alias("_pair"))
     grown_uuid = sources.where("uuid <> ''").groupBy("uuid").agg(F.min("id").alias("_same"))
@@ -180,7 +181,8 @@ def import_parsed(s: Snapshot, parsed: DataFrame, now: Column) -> tuple[Snapshot
     observation = _records(parsed, "observation").withColumn("kind", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("note"))
     placed = _resolved(observation, "project", file_projects, projects).where("project_id IS NOT NULL")
     new_observations = _numbered(_first(placed, "uuid").join(s.observations.select("uuid"), "uuid", "left_anti"), s.observations).withColumn("created_at", F.coalesce("created_at", now))
-    observations = s.observations.unionByName(completed(new_observations, "observations"))
+    new_observations = materialise(completed(new_observations, "observations"), "observations")
+    observations = s.observations.unionByName(new_observations)
 
     ends = {"observation": (None, observations), "project": (file_projects, projects), "concept": (file_concepts, concepts), "source": (file_sources, sources)}
     tables: dict[str, DataFrame] = {}
@@ -213,4 +215,5 @@ def import_parsed(s: Snapshot, parsed: DataFrame, now: Column) -> tuple[Snapshot
 
 def import_lines(s: Snapshot, lines: DataFrame, now: Column | None = None) -> tuple[Snapshot, DataFrame]:
     """``lines(line_no, line)`` into the store; Malformed before any change if a line is no record."""
-    return import_parsed(s, parsed_lines(lines), F.date_trunc("second", F.current_timestamp()) if now is None else now)
+    parsed = materialise(parsed_lines(lines), "parsed")  # every record type reads it
+    return import_parsed(s, parsed, F.date_trunc("second", F.current_timestamp()) if now is None else now)
