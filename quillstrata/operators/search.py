@@ -113,8 +113,11 @@ def _fits(start: Column, others: list[Column], words: int, distance: int) -> Col
 
 @dataclass(frozen=True)
 class Query:
+    """What must hold, the phrases, and by phrase the condition under which it counts (None: never)."""
+
     match: Column
     phrases: tuple[Phrase, ...]
+    counts: tuple[Column | None, ...]
 
 
 @dataclass
@@ -123,6 +126,7 @@ class _Parser:
     items: list[tuple[str, str]] = field(default_factory=list)
     at: int = 0
     phrases: list[Phrase] = field(default_factory=list)
+    gates: dict[int, Column | None] = field(default_factory=dict)
 
     _LEX = re.compile(r'\s*(?:(?P<string>"(?:[^"]|"")*")|(?P<word>[A-Za-z0-9_\u0080-\U0010ffff\x1a]+)|(?P<sign>[(){}:+*^,\-]))')
 
@@ -151,6 +155,13 @@ class _Parser:
     def is_operator(self, name: str) -> bool:
         return self.peek() == ("word", name)
 
+    def gate(self, since: int, condition: Column | None) -> Column | None:
+        """Phrases parsed since count only where what they are a part of holds as a whole; those to be absent never."""
+        for i in range(since, len(self.phrases)):
+            held = self.gates.get(i, F.lit(True))
+            self.gates[i] = None if condition is None or held is None else held & condition
+        return condition
+
     def whole(self) -> Column:
         out = self.either(COLUMNS)
         if self.peek()[0]:
@@ -165,27 +176,36 @@ class _Parser:
         return out
 
     def both(self, columns: tuple[str, ...]) -> Column:
-        out = self.without(columns)
+        since, out, several = len(self.phrases), self.without(columns), False
         while self.is_operator("AND"):
             self.take()
-            out = out & self.without(columns)
+            out, several = out & self.without(columns), True
+        if several:
+            self.gate(since, out)
         return out
 
     def without(self, columns: tuple[str, ...]) -> Column:
-        out = self.sequence(columns)
+        since, out, several = len(self.phrases), self.sequence(columns), False
         while self.is_operator("NOT"):
             self.take()
-            out = out & ~self.sequence(columns)
+            absent = len(self.phrases)
+            out, several = out & ~self.sequence(columns), True
+            self.gate(absent, None)
+        if several:
+            self.gate(since, out)
         return out
 
     def sequence(self, columns: tuple[str, ...]) -> Column:
         """Phrases side by side are all wanted; a parenthesis stands alone."""
+        since, several = len(self.phrases), False
         out, grouped = self.primary(columns)
         while not grouped and self.starts_phrase():
             more, grouped_more = self.primary(columns)
             if grouped_more:
                 self.fail()
-            out = out & more
+            out, several = out & more, True
+        if several:
+            self.gate(since, out)
         return out
 
     def starts_phrase(self) -> bool:
@@ -279,8 +299,11 @@ class _Parser:
         if self.take() != ("sign", ")") or not inner:
             self.at -= 1
             self.fail()
+        since = len(self.phrases)
         self.phrases += inner
-        return Near(tuple(inner), distance).matches()
+        out = Near(tuple(inner), distance).matches()
+        self.gate(since, out)
+        return out
 
 
 def python_tokens(text: str) -> list[str]:
@@ -295,7 +318,7 @@ def parse(text: str) -> Query:
     """The query's condition over the counts tf0, tf1, … of its phrases."""
     parser = _Parser(text)
     match = parser.whole()
-    return Query(match, tuple(parser.phrases))
+    return Query(match, tuple(parser.phrases), tuple(parser.gates.get(i, F.lit(True)) for i in range(len(parser.phrases))))
 
 
 def search(s: Snapshot, text: str, limit: int = LIMIT, docs: DataFrame | None = None) -> DataFrame:
@@ -311,11 +334,13 @@ def search(s: Snapshot, text: str, limit: int = LIMIT, docs: DataFrame | None =
         F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(query.phrases)))
     )
     score = F.lit(0.0)
-    for i in range(len(query.phrases)):
+    for i, counts in enumerate(query.counts):
+        if counts is None:
+            continue
         tf, n = F.col(f"tf{i}").cast("double"), F.col(f"n{i}")
         idf = F.log((F.col("n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+        score = score - F.when(counts, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))).otherwise(0.0)
     hits = counted.where(query.match).crossJoin(F.broadcast(stats)).select("body", "kind", "label", "descr", "source_type", "source_id", "project_id", F.round(score, 6).alias("score"))
     best = hits.orderBy("score", "source_type", "source_id").limit(limit)
     names = s.projects.select(F.col("id").alias("pid"), F.col("name").alias("project"))

@@ -121,11 +121,11 @@ def _tf(words: str, prefix: bool = False, columns: str = "bk") -> str:
     return "(" + " + ".join(sums) + ")"
 
 
-def _search_sql(counts: list[str], condition: str) -> str:
+def _search_sql(counts: list[str], condition: str, scored: int | None = None) -> str:
     tf = ", ".join(f"{c} AS tf{i}" for i, c in enumerate(counts))
     n = ", ".join(f"count(*) FILTER (tf{i} > 0) AS n{i}" for i in range(len(counts)))
     idf = [f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 0.000001 END" for i in range(len(counts))]
-    score = " + ".join(f"({w}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i, w in enumerate(idf))
+    score = " + ".join(f"({w}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i, w in list(enumerate(idf))[:scored])
     return f"""{_DOCS}, tf AS (SELECT *, CAST(len(bw) + len(kw) AS DOUBLE) AS dl, {tf} FROM ix), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS mean, {n} FROM tf),
     hits AS (SELECT tf.*, round(-({score}), 6) AS score FROM tf, st WHERE {condition}),
     best AS (SELECT *, row_number() OVER (ORDER BY score, source_type, source_id) AS nth FROM hits)
@@ -147,7 +147,7 @@ for _name, _text, _counts, _condition in (
     ),
     ("search_initial", "^tidal survey", [f"CAST(coalesce(bw[1] = 'tidal', false) AS INT) + CAST(coalesce(kw[1] = 'tidal', false) AS INT)", _tf("survey")], "tf0 > 0 AND tf1 > 0"),
 ):
-    _add(_name, lambda s, t=_text: search.search(s, t), _search_sql(_counts, _condition))
+    _add(_name, lambda s, t=_text: search.search(s, t), _search_sql(_counts, _condition, 1 if _name == "search_not" else None))
 
 # --- batch writes: the second store's rows come in as a batch
 _BATCH_P = "seq, name, description, status, uuid, origin_host"
