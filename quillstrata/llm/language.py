@@ -91,11 +91,11 @@ class Model:
         totals = [sum(word_counts[l].values()) or 1 for l in languages]
         vocabulary = sorted({w for l in languages for w, n in word_counts[l].items()})
         self.known = {}
-        floor = [0.1 / t for t in totals]
+        floor = 0.1 / max(totals)  # one for all, so that a language with few words in the sample gains nothing by it
         for word in vocabulary:
             counts = [word_counts[l][word] for l in languages]
             if sum(counts) >= KNOWN_FROM:
-                self.known[word] = self._centred([math.log(n / t + f) for n, t, f in zip(counts, totals, floor)])
+                self.known[word] = self._centred([math.log(n / t + floor) for n, t in zip(counts, totals)])
         grams: list[dict[str, list[int]]] = [{} for _ in range(FIRST_GRAM + 1)]
         for i, language in enumerate(languages):
             for word, n in word_counts[language].items():
@@ -105,7 +105,7 @@ class Model:
         self.grams: list[dict[str, tuple[float, ...]]] = [{}]
         for size in range(1, FIRST_GRAM + 1):
             sums = [sum(c[i] for c in grams[size].values()) or 1 for i in range(len(languages))]
-            self.grams.append({g: self._centred([math.log((n + 0.5) / (t + 0.5 * len(grams[size]))) for n, t in zip(c, sums)]) for g, c in grams[size].items() if sum(c) >= KNOWN_FROM})
+            self.grams.append({g: self._centred([math.log(n / t + 0.5 / max(sums)) for n, t in zip(c, sums)]) for g, c in grams[size].items() if sum(c) >= KNOWN_FROM})
 
     @staticmethod
     def _grams(word: str, size: int) -> list[str]:
