@@ -17,9 +17,11 @@ document as a whole.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +51,8 @@ UNKNOWN_WEIGHT = 0.25
 KNOWN_FROM = 3
 #: Nats that a change of language between two sentences costs.
 CHANGE = 6.0
+#: Words a worker remembers; when full it starts anew, which changes no result.
+REMEMBERED = 300_000
 #: Known words that a stretch in a language must have, and a text to be in a language at all.
 STRETCH_WORDS = 3
 TEXT_WORDS = 2
@@ -56,7 +60,7 @@ TEXT_WORDS = 2
 # a sentence ends at its sign before a blank, or with its line; signs, marks and numbers begin none
 _SENTENCE = regex.compile(r"[^\n.!?…。]*(?:[.!?…。]+(?=[\s\"'”’)\]»*_]|$)[\"'”’)\]»*_]*|[.!?…。]+|\n+|$)")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}+)?")
-_NOT_TEXT = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|<?https?://\S+|\b\w+://\S+|[\w.+-]+@[\w.-]+|\[doi:[^\]]*\]|\(10\.\d[^)\s]*\)|\b0x\w+|\b(?=\w*\d)\w+\b", regex.DOTALL)
+_NOT_TEXT = re.compile(r"```.*?(?:```|$)|`[^`\n]*`|<?https?://\S+|\b\w+://\S+|[\w.+-]+@[\w.-]+|\[doi:[^\]]*\]|\(10\.\d[^)\s]*\)|\b0x\w+|\b(?=\w*\d)\w+\b", re.DOTALL)
 
 
 def label_language(label: Column) -> Column:
@@ -82,7 +86,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def words(text: str) -> list[str]:
     """Lower-case words; code, addresses, references and anything with digits have none."""
-    return _WORD.findall(_NOT_TEXT.sub(lambda m: " " * len(m[0]), text).lower())
+    return _WORD.findall(without_code(text).lower())
+
+
+def without_code(text: str) -> str:
+    """The text with blanks for what belongs to no language; as long as before."""
+    return _NOT_TEXT.sub(lambda m: " " * len(m[0]), text)
 
 
 class Model:
@@ -130,33 +139,46 @@ class Model:
 
 
 class Reader:
-    """A model with what a worker has looked up so far."""
+    """A model with what a worker has looked up so far: one row of scores per word seen, 0 for none."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.seen: dict[str, tuple[tuple[float, ...], bool]] = {}
-
-    def score(self, text: str) -> tuple[list[float], int]:
-        """Summed scores by language and the number of known words."""
-        total, known = [0.0] * len(LANGUAGES), 0
-        for word in words(text):
-            found = self.seen.get(word)
-            if found is None:
-                if len(self.seen) > 300_000:
-                    self.seen = {}
-                found = self.seen[word] = self.model.word(word)
-            scores, is_known = found
-            known += is_known
-            for i, s in enumerate(scores):
-                total[i] += s
-        return total, known
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(LANGUAGES)))
+        self.is_known = np.zeros(1024, np.int64)
+
+    def _look_up(self, word: str) -> int:
+        at = self.place[word] = len(self.place) + 1
+        if at >= len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.is_known = np.concatenate([self.is_known, np.zeros_like(self.is_known)])
+        self.scores[at], self.is_known[at] = self.model.word(word)
+        return at
+
+    def score(self, parts: Sequence[Sequence[str]]) -> list[tuple[list[float], int]]:
+        """Of each part's words the summed scores by language and the number of known ones."""
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        place, look_up = self.place, self._look_up
+        flat, begins = [0], []  # the leading 0 keeps every part's begin within bounds
+        for part in parts:
+            flat.append(0)
+            begins.append(len(flat) - 1)
+            flat += [place.get(w) or look_up(w) for w in part]
+        at = np.array(flat)
+        sums = np.add.reduceat(self.scores[at], begins).tolist()
+        return list(zip(sums, np.add.reduceat(self.is_known[at], begins).tolist()))
 
     def stretches(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
         """(begin, end, language, confidence, known words) of each stretch in one language, in order; none for a text without words."""
         if not text:
             return []
         spans = sentences(text)
-        scored = [self.score(text[a:b]) for a, b in spans]
+        plain = without_code(text)
+        scored = self.score([_WORD.findall(plain[a:b].lower()) for a, b in spans])
         if sum(k for _, k in scored) < TEXT_WORDS:
             return []
         path = _cheapest_path([s for s, _ in scored])
@@ -178,6 +200,10 @@ class Reader:
 
 def _cheapest_path(scores: Sequence[Sequence[float]]) -> list[int]:
     n = len(LANGUAGES)
+    table = np.array(scores)
+    throughout = (table == table.max(axis=1, keepdims=True)).all(axis=0)
+    if throughout.any():  # one language is the best of every sentence: no path can be better
+        return [int(throughout.argmax())] * len(scores)
     best, backs = list(scores[0]), []
     for now in scores[1:]:
         top = max(range(n), key=best.__getitem__)
