@@ -41,7 +41,8 @@ def _add(name: str, run: Callable[[Snapshot], DataFrame], sql: str | None, secon
 
 
 def _add2(name: str, run: Callable[[Snapshot, Snapshot], DataFrame], sql: str | None) -> None:
-    QUERIES[name] = lambda spark, folder: run(store_of(spark, folder, pinned=True), store_of(spark, folder, True, pinned=True))
+    pinned = name.startswith("import_")  # these read the tables of both stores many times
+    QUERIES[name] = lambda spark, folder: run(store_of(spark, folder, pinned=pinned), store_of(spark, folder, True, pinned=pinned))
     if sql is not None:
         ORACLES[name] = f"WITH {store_sql()}, {store_sql(True, '2')} {sql}"
 
