@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillstrata.operators.writing import first_wins, link, upsert_projects, upsert_sources
 from quillstrata.sources.store import Snapshot, completed
 
-# Fixed value: how the title of a promoted citation begins.
-PROMOTED_TITLE = "DOI: "
+# What stands around the DOI in the title of a promoted citation.
+PROMOTED_TITLE = ("Source (DOI: ", ")")
 
 
 def backfill_created_at(s: Snapshot, now: Column) -> Snapshot:
@@ -26,7 +26,7 @@ def promote_dois(s: Snapshot, now: Column, fresh: Column) -> Snapshot:
     """A source for each cited DOI that none has yet, and a link to each source with that value, whatever its type."""
     cited = s.observations.where("source_doi <> ''").groupBy("source_doi").agg(F.min("id").alias("seq"))
     incoming = cited.select(
-        "seq", F.concat(F.lit(PROMOTED_TITLE), F.col("source_doi")).alias("title"), F.lit("doi").alias("identifier_type"), F.col("source_doi").alias("identifier_value")
+        "seq", F.concat(F.lit(PROMOTED_TITLE[0]), F.col("source_doi"), F.lit(PROMOTED_TITLE[1])).alias("title"), F.lit("doi").alias("identifier_type"), F.col("source_doi").alias("identifier_value")
     ).withColumn("uuid", fresh).withColumn("origin_host", F.lit("unknown"))
     grown = upsert_sources(s, incoming, now)
     return link_promoted(grown)

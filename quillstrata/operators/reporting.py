@@ -11,7 +11,7 @@ from quillstrata.sources.store import Snapshot
 #: Newest observations that the summary shows of each project.
 SHOWN = 3
 # The lines of the reports.
-NO_PROJECTS = "  (no projects — use /kb project add <name> to create one)\n"
+NO_PROJECTS = "  (no projects — use project add <name> to create one)\n"
 NO_OBSERVATIONS = "_No observations recorded._\n"
 TITLE = "# Knowledge Base\n"
 

@@ -12,7 +12,7 @@ from quillstrata.operators.reading import unretracted_dois
 from quillstrata.sources.store import Snapshot, completed
 
 # Fixed value: the note of a retraction of which nothing more is known.
-DEFAULT_NOTE = "Retracted (per Retraction Watch)"
+DEFAULT_NOTE = "Retracted (Retraction Watch)"
 
 Checker = Callable[[str], tuple[bool, str]]
 

@@ -360,7 +360,7 @@ _add("backfill_created_at", lambda s: migrating.backfill_created_at(s.with_table
 _DOI = "SELECT source_doi, min(id) AS seq FROM o WHERE source_doi <> '' AND source_doi NOT IN (SELECT identifier_value FROM s WHERE identifier_type = 'doi') GROUP BY 1"
 _add(
     "promote_doi_sources", lambda s: migrating.promote_dois(s, _now(), F.md5("identifier_value")).sources.select("id", "title", "identifier_type", "identifier_value", "uuid"),
-    f"SELECT id, title, identifier_type, identifier_value, uuid FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY seq), 'DOI: ' || source_doi, 'doi', source_doi, md5(source_doi) FROM ({_DOI})",
+    f"SELECT id, title, identifier_type, identifier_value, uuid FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY seq), 'Source (DOI: ' || source_doi || ')', 'doi', source_doi, md5(source_doi) FROM ({_DOI})",
 )
 _add(
     "link_promoted_sources", lambda s: migrating.promote_dois(s, _now(), F.md5("identifier_value")).observation_sources,
@@ -389,7 +389,7 @@ def _feed(s: Snapshot) -> DataFrame:
 _add(
     "retraction_sweep", lambda s: retracting.sweep(s, retracting.notes_from_feed(_feed(s)), _now())[0].sources.select("id", "retracted", "retraction_note", "last_checked_at"),
     f"""SELECT id, retracted OR identifier_type = 'doi' AS retracted, CASE WHEN identifier_type = 'doi' AND NOT retracted THEN
-      CASE WHEN version <> '' AND publisher <> '' THEN 'Version ' || version || ' (2024-05-01)' WHEN version <> '' THEN 'Version ' || version WHEN publisher <> '' THEN '2024-05-01' ELSE 'Retracted (per Retraction Watch)' END
+      CASE WHEN version <> '' AND publisher <> '' THEN 'Version ' || version || ' (2024-05-01)' WHEN version <> '' THEN 'Version ' || version WHEN publisher <> '' THEN '2024-05-01' ELSE 'Retracted (Retraction Watch)' END
       ELSE retraction_note END AS retraction_note, CASE WHEN identifier_type = 'doi' AND NOT retracted THEN {NOW} ELSE last_checked_at END AS last_checked_at FROM s""",
 )
 _add("retraction_counts", lambda s: retracting.sweep(s, retracting.notes_from_feed(_feed(s)), _now())[1], "SELECT count(*) AS checked, count(*) AS updated FROM s WHERE identifier_type = 'doi' AND NOT retracted")
