@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,6 +49,22 @@ def notes_from_checker(dois: DataFrame, check: Checker) -> DataFrame:
     return dois.select("doi").distinct().mapInPandas(run, "doi string, note string")
 
 
+def http_checker(url: str, timeout: float = 30.0) -> Checker:
+    """A checker that asks a service about one DOI: ``url?ArticleDOI=…``, of whose JSON list the first entry counts."""
+
+    def check(doi: str) -> tuple[bool, str]:
+        with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode({'ArticleDOI': doi})}", timeout=timeout) as answer:
+            if answer.status != 200:
+                raise OSError(f"status {answer.status}")
+            entries = json.load(answer)
+        if not entries:
+            return False, ""
+        reason, date = entries[0].get("Reason") or "", entries[0].get("RetractionDate") or ""
+        return True, f"{reason} ({date})" if reason and date else reason or date or DEFAULT_NOTE
+
+    return check
+
+
 def sweep(s: Snapshot, notes: DataFrame, now: Column) -> tuple[Snapshot, DataFrame]:
     """Flags every hit among the DOIs not retracted yet; all that were looked at get ``now``. Also one row ``(checked, updated)``."""
     due = unretracted_dois(s).select("id", "doi").join(notes, "doi", "left").select("id", F.col("note").alias("_note"), F.lit(True).alias("_due"))

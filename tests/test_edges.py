@@ -36,3 +36,39 @@ def test_stream_and_commands(spark, tmp_path, capsys):
     assert run("export", out)[1].out == "2\n"
     assert cli.main(["--store", str(tmp_path / "other"), "import", out]) == 0
     assert Store(spark, str(tmp_path / "other")).read().projects.count() == 1
+
+
+def test_trace(tmp_path):
+    from quillstrata.trace import Trace
+
+    trace = Trace(str(tmp_path / "trace.jsonl"))
+    assert trace.traced(max)(1, 2) == 2
+    try:
+        trace.traced(int)("x")
+    except ValueError:
+        pass
+    first, second = map(json.loads, (tmp_path / "trace.jsonl").read_text().splitlines())
+    assert first["method"] == "max" and first["result"] == 2 and "error" in second and first["duration_ms"] >= 0
+
+
+def test_checker_over_http():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quillstrata.operators.retracting import http_checker
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = b'[{"Reason": "Error", "RetractionDate": "2024"}, {"Reason": "later"}]' if "10.1%2Fa" in self.path else b"[]"
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    check = http_checker(f"http://127.0.0.1:{server.server_port}")
+    assert check("10.1/a") == (True, "Error (2024)") and check("10.1/b") == (False, "")
+    server.shutdown()
