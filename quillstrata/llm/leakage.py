@@ -4,9 +4,10 @@ Each shard of the corpus (the documents of some record batches) becomes one
 array of word numbers with a suffix array over it. Every suffix of every test
 passage is looked up in it by binary search, all suffixes at once; from where
 the first SEED words agree, the verbatim match is extended to its full length
-on both sides. Maximal matches of a document and an item are gathered along
-diagonals; where the best two diagonals hold enough of the item, an exact
-alignment of the two texts decides.
+on both sides. Where the maximal matches of a document and an item hold enough
+of the item, an alignment of the item with the neighbourhoods of all of them
+decides: a forward and a backward pass give the best stretch, or ordered pair
+of stretches.
 
 Only words that occur in some test passage have numbers; all others are one
 number that matches nothing, so the index covers the part of the corpus that
@@ -20,7 +21,6 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 SEED = 3
 #: Words of a suffix that the order of the suffix array looks at; longer agreement is compared directly.
 DEPTH = 12
-#: Share of an item's words that the two best diagonals must hold verbatim before the alignment is made.
+#: Share of an item's words that its matches in a document must hold together before the alignment is made.
 CANDIDATE_SHARE = 0.25
 #: Share of an item's words that one stretch, or two, must span.
 LEAK_SHARE = 0.5
@@ -43,6 +43,8 @@ DRIFT = 12
 SHARD_WORDS = 600_000
 #: Hits that are looked at together; more of them are taken one lot after another.
 HITS_AT_ONCE = 2_000_000
+#: Words of text that are aligned together.
+ALIGNED_AT_ONCE = 1 << 15
 #: Bound of the broadcast test passages, in words.
 MOST_TEST_WORDS = 20_000_000
 #: What a changed, dropped or added word costs against a word that agrees: a stretch goes on over single ones,
@@ -171,101 +173,110 @@ def matches(text: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(found_d), np.concatenate(found_q), np.concatenate(found_n)
 
 
-def _candidates(document: np.ndarray, query: np.ndarray, length: np.ndarray, owner: np.ndarray, tests: Tests) -> list[tuple[int, int, list[int]]]:
-    """(document, item, places in the text) whose two best diagonals hold enough of the item."""
+def _candidates(document: np.ndarray, query: np.ndarray, length: np.ndarray, owner: np.ndarray, tests: Tests) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(document, item, begins, ends) whose matches together hold enough of the item; begins and ends in the text of each match, by begin."""
     item = tests.owner[query]
-    doc = owner[document]
     needed = np.array(tests.lengths)
-    pair = doc * len(needed) + item
-    order = np.lexsort((document - query, pair))
-    pair, shift, length, document = pair[order], (document - query)[order], length[order], document[order]
-    fresh = np.ones(len(pair), bool)
-    fresh[1:] = pair[1:] != pair[:-1]
-    # a diagonal goes on while the next match's shift is within the drift
-    step = fresh.copy()
-    step[1:] |= shift[1:] - shift[:-1] > DRIFT
-    diagonal = np.cumsum(step) - 1
-    held = np.bincount(diagonal, weights=length)
-    pair_of = pair[step]
-    rank = np.lexsort((-held, pair_of))
-    head = np.ones(len(rank), bool)
-    head[1:] = pair_of[rank][1:] != pair_of[rank][:-1]
-    second = np.zeros(len(rank), bool)
-    second[1:] = head[:-1] & ~head[1:]
-    chosen = rank[head | second]
-    total = np.bincount(np.searchsorted(np.unique(pair_of), pair_of[chosen]), weights=held[chosen])
-    unique_pairs = np.unique(pair_of)
-    good = unique_pairs[total >= CANDIDATE_SHARE * needed[unique_pairs % len(needed)]]
+    pair = owner[document] * len(needed) + item
+    # words of the passage that any match holds, each counted once: no two stretches can hold more
+    order = np.lexsort((query, pair))
+    by_pair, begin, end = pair[order], query[order], (query + length)[order]
+    far = len(tests.text) + 1
+    reached = np.zeros(len(order), np.int64)
+    reached[1:] = np.maximum.accumulate(by_pair * far + end)[:-1] - by_pair[1:] * far
+    held = np.maximum(end - np.maximum(begin, reached), 0)
+    unique_pairs, number = np.unique(by_pair, return_inverse=True)
+    good = unique_pairs[np.bincount(number, weights=held) >= CANDIDATE_SHARE * needed[unique_pairs % len(needed)]]
     if not len(good):
         return []
-    first = np.flatnonzero(step)
-    ends = np.concatenate([first[1:], [len(pair)]])
-    spans: dict[int, list[int]] = defaultdict(list)
-    for d in np.sort(chosen[np.isin(pair_of[chosen], good)]):
-        here = slice(first[d], ends[d])
-        spans[int(pair_of[d])] += [int(document[here].min()), int((document[here] + length[here]).max())]
-    return [(key // len(needed), key % len(needed), ends_) for key, ends_ in spans.items()]
-
-
-def _align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment (a word 1, a changed, dropped or added word -EDIT): begins and ends in a and b, and its score."""
-    if not len(a) or not len(b):
-        return 0, 0, 0, 0, 0
-    # row by row; a gap along the row is a running maximum of score + column
-    column = np.arange(len(b) + 1)
-    before = np.zeros(len(b) + 1, np.int64)
-    begin_before = np.stack([np.zeros(len(b) + 1, np.int64), column])  # where each cell's alignment begins
-    best = (0, 0, 0, 0, 0)
-    for i in range(1, len(a) + 1):
-        hit = (b == a[i - 1]) & (a[i - 1] > 0)
-        diagonal = before[:-1] + np.where(hit, 1, -EDIT)
-        above = before[1:] - EDIT
-        now = np.zeros(len(b) + 1, np.int64)
-        begin = np.stack([np.full(len(b) + 1, i), column])
+    kept = np.flatnonzero(np.isin(pair, good))
+    kept = kept[np.lexsort((document[kept], pair[kept]))]
+    edges = np.searchsorted(pair[kept], good).tolist() + [len(kept)]
+    begins, ends = document[kept], (document + length)[kept]
+    return [(int(key) // len(needed), int(key) % len(needed), begins[a:b], ends[a:b]) for key, a, b in zip(good, edges, edges[1:])]
+
+
+def _widest(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """Of rows of passages and texts, after each word of a, from none on: by words of b, the most words of a that one stretch within these parts spans.
+
+    A stretch is a local alignment (a word that agrees 1, a changed, dropped or
+    added one -EDIT) whose every beginning and every end scores above 0, so
+    that it grows over single edits and stops where more differs than agrees.
+    """
+    # a cell is score * unit + words of a spanned: of equal scores the wider one
+    unit = a.shape[1] + 1
+    edit = EDIT * unit
+    column = np.arange(b.shape[1] + 1)
+    slope = edit * column
+    before = np.zeros((len(b), len(column)), np.int64)
+    peak_before = np.zeros_like(before)  # the highest score on the way to each cell
+    widest = np.zeros_like(before)
+    yield widest
+    for word in a.T[:, :, None]:
+        hit = (b == word) & (word > 0)
+        diagonal = before[:, :-1] + np.where(hit, unit + 1, 1 - edit)
+        above = before[:, 1:] + (1 - edit)
         take = np.maximum(diagonal, above)
-        positive = take > 0
-        use = diagonal >= above
-        now[1:] = np.where(positive, take, 0)
-        for axis in (0, 1):
-            begin[axis, 1:] = np.where(positive, np.where(use, begin_before[axis, :-1], begin_before[axis, 1:]), begin[axis, 1:])
-        raised = np.maximum.accumulate(now + EDIT * column)
-        source = np.maximum.accumulate(np.where(now + EDIT * column == raised, column, 0))
-        with_gap = raised - EDIT * column
-        longer = with_gap > now
-        now = np.where(longer, with_gap, now)
-        begin = np.where(longer, begin[:, source], begin)
-        top = int(now.argmax())
-        if now[top] > best[4]:
-            best = (int(begin[0, top]), i, int(begin[1, top]), top, int(now[top]))
-        before, begin_before = now, begin
-    return best
-
-
-def spanned(passage: np.ndarray, text: np.ndarray) -> int:
-    """Words of the passage that its best stretch in the text spans, with a second one before or after it in both."""
-    a0, a1, b0, b1, score = _align(passage, text)
-    if score < LEAST_STRETCH:
-        return a1 - a0 if score > 0 else 0
-    others = []
-    for part, where in ((passage[:a0], text[:b0]), (passage[a1:], text[b1:])):
-        c0, c1, _, _, more = _align(part, where)
-        if more >= LEAST_STRETCH:
-            others.append(c1 - c0)
-    return a1 - a0 + max(others, default=0)
-
-
-def _verified(text: np.ndarray, begin: int, end: int, item: int, spans: list[int], tests: Tests) -> int:
-    """Words spanned within the neighbourhood of the diagonals, each as wide as the item and its drift."""
-    length = tests.lengths[item]
-    start = tests.starts[item]
-    margin = length + DRIFT
-    low, high = max(begin, min(spans) - margin), min(end, max(spans) + margin)
-    if high - low > 6 * margin and len(spans) == 4:  # two stretches far apart: what lies between cannot matter
-        parts = sorted((spans[0:2], spans[2:4]))
-        window = np.concatenate([text[max(begin, parts[0][0] - margin) : min(end, parts[0][1] + margin)], np.zeros(1, np.int64), text[max(begin, parts[1][0] - margin) : min(end, parts[1][1] + margin)]])
-    else:
-        window = text[low:high]
-    return spanned(tests.text[start : start + length], window)
+        take[take < unit] = 0
+        score = take // unit
+        passed = np.where(diagonal >= above, peak_before[:, :-1], peak_before[:, 1:])
+        now, peak = np.zeros_like(before), np.zeros_like(before)
+        now[:, 1:] = take
+        peak[:, 1:] = np.where(take > 0, np.maximum(passed, score), 0)
+        # an agreeing word that raises the score above all before it ends a stretch
+        width = np.where(hit & (score > passed), take - score * unit, 0)
+        width[width < LEAST_STRETCH] = 0
+        widest = widest.copy()
+        widest[:, 1:] = np.maximum(widest[:, 1:], np.maximum.accumulate(width, axis=1))
+        yield widest
+        # a gap along the row is a running maximum of score + column
+        raised = np.maximum.accumulate(now + slope, axis=1)
+        with_gap = raised - slope
+        longer = (with_gap > now) & (with_gap >= unit)
+        source = np.maximum.accumulate(np.where(with_gap == now, column, 0), axis=1)
+        peak = np.where(longer, np.take_along_axis(peak, source, axis=1), peak)
+        before, peak_before = np.where(longer, with_gap, now), peak
+
+
+def spanned(passages: list[np.ndarray], texts: list[np.ndarray]) -> list[int]:
+    """Most words of each passage that one stretch spans in its text, or two, the second after the first in both."""
+    # ends of 0 fill the rows up; they match nothing
+    a = np.zeros((len(passages), max(map(len, passages))), np.int64)
+    b = np.zeros((len(texts), max(map(len, texts))), np.int64)
+    for i, (passage, text) in enumerate(zip(passages, texts)):
+        a[i, : len(passage)], b[i, : len(text)] = passage, text
+    first = np.empty((a.shape[1] + 1, len(b), b.shape[1] + 1), np.int16 if a.shape[1] < 1 << 14 else np.int32)
+    for i, row in enumerate(_widest(a, b)):
+        first[i] = row
+    # from behind: what follows each place in passage and text
+    most = np.zeros(len(b), np.int64)
+    for i, row in enumerate(_widest(a[:, ::-1], b[:, ::-1])):
+        most = np.maximum(most, (first[a.shape[1] - i] + row[:, ::-1]).max(axis=1))
+    return most.tolist()
+
+
+def _window(text: np.ndarray, begin: int, end: int, item: int, begins: np.ndarray, ends: np.ndarray, tests: Tests) -> np.ndarray:
+    """The neighbourhood of all matches, each as wide as the item and its drift."""
+    margin = tests.lengths[item] + DRIFT
+    lows, highs = np.maximum(begins - margin, begin), np.minimum(np.maximum.accumulate(ends) + margin, end)
+    # what lies between neighbourhoods that do not touch holds no match, and no stretch crosses their margins
+    fresh = np.flatnonzero(lows[1:] > highs[:-1]) + 1
+    return np.concatenate([text[a:b] for a, b in zip(lows[np.concatenate([[0], fresh])], highs[np.concatenate([fresh - 1, [-1]])])])
+
+
+def _verified(windows: list[np.ndarray], items: list[int], tests: Tests) -> list[int]:
+    """Words spanned in each window, windows of like size together."""
+    out = [0] * len(items)
+    order = sorted(range(len(items)), key=lambda i: (tests.lengths[items[i]].bit_length(), len(windows[i])))
+    while order:
+        n = 1
+        while n < len(order) and (n + 1) * len(windows[order[n]]) <= ALIGNED_AT_ONCE and tests.lengths[items[order[n]]] < 2 * tests.lengths[items[order[0]]]:
+            n += 1
+        lot, order = order[:n], order[n:]
+        passages = [tests.text[tests.starts[items[i]] :][: tests.lengths[items[i]]] for i in lot]
+        for i, held in zip(lot, spanned(passages, [windows[i] for i in lot])):
+            out[i] = held
+    return out
 
 
 def leaks_in_shard(documents: list[tuple[int, str]], tests: Tests) -> list[tuple[int, int, int, int]]:
@@ -283,12 +294,10 @@ def leaks_in_shard(documents: list[tuple[int, str]], tests: Tests) -> list[tuple
     if not len(document):
         return []
     owner = np.searchsorted(np.array(bounds), np.arange(len(flat)), "right") - 1
-    out = []
-    for doc, item, spans in _candidates(document, query, length, owner, tests):
-        held = _verified(text, bounds[doc], bounds[doc + 1], item, spans, tests)
-        if held >= LEAK_SHARE * tests.lengths[item]:
-            out.append((ids[doc], tests.ids[item], held, tests.lengths[item]))
-    return out
+    found = _candidates(document, query, length, owner, tests)
+    windows = [_window(text, bounds[doc], bounds[doc + 1], item, begins, ends, tests) for doc, item, begins, ends in found]
+    spans = _verified(windows, [item for _, item, _, _ in found], tests)
+    return [(ids[doc], tests.ids[item], held, tests.lengths[item]) for (doc, item, _, _), held in zip(found, spans) if held >= LEAK_SHARE * tests.lengths[item]]
 
 
 LEAKS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "item_id", "words", "item_words")])

@@ -63,3 +63,22 @@ def test_planted(spark):
 
 def test_plain_words():
     assert L.plain_words("Left‑handed of­ficer, **c​afé** &amp; ﬁne <b>x</b>\\nunter\\u00fcck unea-\nrthed") == "lefthanded officer cafe fine x unteruck unearthed".split()
+
+
+def found(passage, *parts):
+    """Words spanned of a passage by a document of these parts; none if it is no case."""
+    rows = L.leaks_in_shard([(1, " ".join(" ".join(part) for part in parts))], L.Tests([(1, " ".join(passage))]))
+    return rows[0][2] if rows else None
+
+
+def test_repeated_parts():
+    p, other = [f"p{i}" for i in range(76)], [f"o{i}" for i in range(700)]
+    # two copies of one part and the other part far from both; a longer second part before and after the first
+    assert found(p, p[:24], other[:10], p[:24], other[10:110], p[40:56]) == 40
+    assert found(p, p[:24], other[:600], p[40:56], other[600:650], p[:24]) == 40
+    assert found(p, p[40:64], other[:9], p[:20], other[9:18], p[40:60]) == 40
+    # a wider stretch with edits beside a shorter one that scores more
+    assert found(p, p[:9], other[:1], p[10:19], other[1:2], p[20:28], other[2:90], p[:22], other[90:99], p[50:62]) == 40
+    # the wrong order, and the same words twice, are no case
+    assert found(p, p[40:60], other[:30], p[:20]) is None
+    assert found(p, p[:25], other[:40], p[:25], other[40:90], p[10:30]) is None
