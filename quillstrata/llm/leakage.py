@@ -50,8 +50,8 @@ MOST_TEST_WORDS = 20_000_000
 #: What a changed, dropped or added word costs against a word that agrees: a stretch goes on over single ones,
 #: but a sentence that only has the same frame, with a third of its words others, falls apart.
 EDIT = 2
-#: A second stretch counts from so many words on.
-LEAST_STRETCH = 6
+#: Words that a stretch spans at least: fewer hold no run that the search sees.
+LEAST_STRETCH = SEED
 
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\[ntr]")
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,200})?/?>")

@@ -82,3 +82,13 @@ def test_repeated_parts():
     # the wrong order, and the same words twice, are no case
     assert found(p, p[40:60], other[:30], p[:20]) is None
     assert found(p, p[:25], other[:40], p[:25], other[40:90], p[10:30]) is None
+
+
+def test_short_second_stretch():
+    p, other = [f"p{i}" for i in range(76)], [f"o{i}" for i in range(99)]
+    assert found(p, p[:33], other[:30], p[50:55]) == 38
+    # two changed words in the ten of the second stretch
+    assert found(p, p[:30], other[:30], p[50:53], other[31:32], p[54:56], other[32:33], p[57:60]) == 40
+    assert found(p, p[:32], other[:30], p[50:55]) is None
+    # words that stand alone make no stretch
+    assert found(p, p[:36], other[:30], p[50:52]) is None
