@@ -85,7 +85,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     from quillstrata.llm.leakage import leaked_items, without_leaks
 
     documents = table(spark, folder, "documents")
-    return without_leaks(documents, leaked_items(documents, table(spark, folder, "eval_items"))).select("doc_id", "lang", "source", "kind", "n_chars")
+    return without_leaks(documents, leaked_items(documents, table(spark, folder, "eval_items")))
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:

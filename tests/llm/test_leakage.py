@@ -92,3 +92,19 @@ def test_short_second_stretch():
     assert found(p, p[:32], other[:30], p[50:55]) is None
     # words that stand alone make no stretch
     assert found(p, p[:36], other[:30], p[50:52]) is None
+
+
+def test_clean_corpus_is_whole(spark):
+    import pytest
+    from quillstrata.llm import registry
+    from quillstrata.sources.tables import table
+
+    folder = "/root/testdata/sf0.001"
+    try:
+        documents = table(spark, folder, "documents")
+    except Exception:
+        pytest.skip("no test tables")
+    leaked = {r.doc_id for r in registry.p8_found(spark, folder).collect()}
+    clean = registry.p8_clean(spark, folder)
+    assert clean.columns == documents.columns and leaked
+    assert {r.doc_id: r for r in clean.collect()} == {r.doc_id: r for r in documents.collect() if r.doc_id not in leaked}
