@@ -53,9 +53,9 @@ KNOWN_FROM = 3
 CHANGE = 6.0
 #: Words a worker remembers; when full it starts anew, which changes no result.
 REMEMBERED = 300_000
-#: Known words that a stretch in a language must have, and a text to be in a language at all.
-STRETCH_WORDS = 3
-TEXT_WORDS = 2
+#: Words told apart, by themselves or by their letters, that a stretch among others must have: a single foreign word
+#: makes none. A text needs one; without any it is in no language.
+STRETCH_WORDS = 2
 
 # a sentence ends at its sign before a blank, or with its line; signs, marks and numbers begin none
 _SENTENCE = regex.compile(r"[^\n.!?…。]*(?:[.!?…。]+(?=[\s\"'”’)\]»*_]|$)[\"'”’)\]»*_]*|[.!?…。]+|\n+|$)")
@@ -148,18 +148,20 @@ class Reader:
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.scores = np.zeros((1024, len(LANGUAGES)))
-        self.is_known = np.zeros(1024, np.int64)
+        self.is_told = np.zeros(1024, np.int64)
 
     def _look_up(self, word: str) -> int:
         at = self.place[word] = len(self.place) + 1
         if at >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.is_known = np.concatenate([self.is_known, np.zeros_like(self.is_known)])
-        self.scores[at], self.is_known[at] = self.model.word(word)
+            self.is_told = np.concatenate([self.is_told, np.zeros_like(self.is_told)])
+        self.scores[at], known = self.model.word(word)
+        # letters that score alike in every language tell nothing
+        self.is_told[at] = known or np.ptp(self.scores[at]) > 0
         return at
 
     def score(self, parts: Sequence[Sequence[str]]) -> list[tuple[list[float], int]]:
-        """Of each part's words the summed scores by language and the number of known ones."""
+        """Of each part's words the summed scores by language and the number of those told apart."""
         if len(self.place) > REMEMBERED:
             self._forget()
         place, look_up = self.place, self._look_up
@@ -170,16 +172,16 @@ class Reader:
             flat += [place.get(w) or look_up(w) for w in part]
         at = np.array(flat)
         sums = np.add.reduceat(self.scores[at], begins).tolist()
-        return list(zip(sums, np.add.reduceat(self.is_known[at], begins).tolist()))
+        return list(zip(sums, np.add.reduceat(self.is_told[at], begins).tolist()))
 
     def stretches(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
-        """(begin, end, language, confidence, known words) of each stretch in one language, in order; none for a text without words."""
+        """(begin, end, language, confidence, words told apart) of each stretch in one language, in order; none for a text without words."""
         if not text:
             return []
         spans = sentences(text)
         plain = without_code(text)
         scored = self.score([_WORD.findall(plain[a:b].lower()) for a, b in spans])
-        if sum(k for _, k in scored) < TEXT_WORDS:
+        if not sum(k for _, k in scored):
             return []
         path = _cheapest_path([s for s, _ in scored])
         while True:
@@ -193,8 +195,8 @@ class Reader:
             sums = [sum(scored[i][0][l] for i in range(begin, end)) for l in range(len(LANGUAGES))]
             path[begin:end] = [max(near, key=lambda l: sums[l])] * (end - begin)
         out = []
-        for begin, end, language, known, sums in _runs(path, scored):
-            out.append((spans[begin][0], spans[end - 1][1], LANGUAGES[language], _confidence(sums, language), known))
+        for begin, end, language, told, sums in _runs(path, scored):
+            out.append((spans[begin][0], spans[end - 1][1], LANGUAGES[language], _confidence(sums, language), told))
         return out
 
 
@@ -284,7 +286,7 @@ SEGMENTS = T.StructType(
 def language_segments(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> DataFrame:
     """Rows SEGMENTS: seg_no 0 for the document, from 1 each stretch; begin and end in characters of the text.
 
-    The document's language is that of most of its text by known words, the
+    The document's language is that of most of its text by words told apart, the
     first stretch's if equal. label is the language the label names, null if
     none; segments the number of stretches. Defined cases: null, empty and blank texts and texts without words
     of a language have no rows; repeated rows are each given; other columns
@@ -302,9 +304,9 @@ def language_segments(documents: DataFrame, model: Model, id_column: str = "doc_
                     continue
                 weight: Counter = Counter()
                 sure: Counter = Counter()
-                for _, _, language, confidence, known in found:
-                    weight[language] += known
-                    sure[language] += known * confidence
+                for _, _, language, confidence, told in found:
+                    weight[language] += told
+                    sure[language] += told * confidence
                 main = max(weight, key=lambda l: (weight[l], -LANGUAGES.index(l)))
                 if weight[main] == weight[found[0][2]]:
                     main = found[0][2]

@@ -50,3 +50,18 @@ def test_labels_and_backoff(spark):
     model = L.Model({**{l: Counter() for l in L.LANGUAGES}, "en": Counter({"winter": 9, "printer": 9}), "de": Counter({"zwischen": 9})})
     assert model.word("winter")[1] and not model.word("splinter")[1]
     assert model.word("splinter")[0][0] == max(model.word("splinter")[0]) and model.word("ŋŋ")[0] == (0.0,) * 8
+
+
+def test_letters_decide():
+    model = L.Model({**{l: Counter() for l in L.LANGUAGES}, "en": Counter({"winter": 900, "the": 900, "thinking": 900, "with": 900}), "de": Counter({"zwischen": 900, "schnee": 900, "fisch": 900})})
+    reader = L.Reader(model)
+    langs = lambda text: [x[2] for x in reader.stretches(text)]
+    # one known word; words of which only the letters are known
+    assert langs("Zwischen") == ["de"] and langs("winter") == ["en"]
+    assert not any(model.word(w)[1] for w in "fischen mischen tischen wischen waschen".split())
+    assert langs("Fischen mischen tischen.") == ["de"]
+    # a sentence of two words among others, and a single word that makes none
+    assert langs("With the winter thinking. Zwischen Schnee. The winter with thinking.") == ["en", "de", "en"]
+    assert langs("With the winter thinking. Zwischen. The winter with thinking.") == ["en"]
+    # nothing told apart
+    assert langs("ŋŋ ŋŋŋ 12") == [] == langs("")
