@@ -15,19 +15,99 @@ def text(n):
 ITEMS = [(i, text(60)) for i in range(1, 21)]
 
 
-def test_matches_against_brute_force():
-    tests = L.Tests([(i, " ".join(RNG.choices("abcd", k=12))) for i in range(3)])
-    flat = np.array([tests.numbers.get(c, 0) for c in RNG.choices("abcde", k=300)] + [0] * L.DEPTH, np.int64)
-    found = set(zip(*(x.tolist() for x in L.matches(flat, tests))))
-    wanted = set()
-    for d in range(300):
-        for q in range(len(tests.text) - L.DEPTH):
-            n = 0
-            while flat[d + n] == tests.text[q + n] and flat[d + n]:
-                n += 1
-            if n >= L.SEED and not (d and q and flat[d - 1] == tests.text[q - 1] and flat[d - 1]):
-                wanted.add((d, q, n))
-    assert found == wanted
+def test_suffix_array_and_longest_matches_against_brute_force():
+    for letters, most in (("abcd", 12), ("ab", 9), ("abcdefgh" * 3, 30)):
+        tests = L.Tests([(i, " ".join(RNG.choices(letters, k=RNG.randint(1, most)))) for i in range(4)])
+        docs = [(i, " ".join(RNG.choices(letters + "z", k=RNG.choice([0, 1, 5, 90])))) for i in range(8)]
+        shard = L.Shard([*docs, docs[-1]], tests)
+        text = shard.text.tolist()
+
+        def run(flat, at):
+            out = []
+            while flat[at]:
+                out.append(flat[at])
+                at += 1
+            return out
+
+        found = [run(text, at)[: tests.longest] for at in shard.order.tolist()]
+        assert found == sorted(found) and sorted(shard.order.tolist()) == [i for i, w in enumerate(text) if w]
+        agree = lambda x, y: next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        longest = [max((agree(run(tests.text.tolist(), q), run(text, at)) for at in shard.order.tolist()), default=0) for q in tests.suffixes.tolist()]
+        assert longest == shard.longest.tolist()
+
+
+def exact(passage, text):
+    """Words spanned by the alignment of the whole passage with the whole text: no index, no bound, no window."""
+    tests = L.Tests([(1, passage)])
+    numbers = np.array([tests.numbers.get(w, 0) for w in L.plain_words(text)])
+    return L.spanned([tests.passage(0)], [numbers], [int(tests.least[0])])[0], tests
+
+
+def test_search_loses_nothing_of_the_alignment():
+    """Edits at every second to tenth word, passages and second stretches of one to five words, chance echoes."""
+    texts = []
+    for n in (1, 2, 3, 4, 5, 7, 20, 60):
+        for _ in range(6):
+            p = RNG.choices(WORDS[:60], k=n)
+            other = lambda k: RNG.choices(WORDS[:90], k=k)
+            for every in range(2, 11):
+                changed = [w if (i + 1) % every else "changed" for i, w in enumerate(p)]
+                dropped = [w for i, w in enumerate(p) if (i + 1) % every]
+                added = [x for i, w in enumerate(p) for x in ([w, "added"] if not (i + 1) % every else [w])]
+                for form in (changed, dropped, added):
+                    texts.append((p, other(30) + form + other(20)))
+            for second in range(1, 6):
+                first = max(0, -(-n // 2) - second)
+                texts.append((p, other(9) + p[:first] + other(40) + p[n - second :] + other(9)))
+            texts += [(p, other(200)), (p, p), (p, p[: n // 2] + p[: n // 2]), (p, [])]
+    leaks = 0
+    for p, words in texts:
+        passage, text = " ".join(p), " ".join(words)
+        held, tests = exact(passage, text) if words else (0, L.Tests([(1, passage)]))
+        wanted = [(5, 1, held, len(p))] if held >= len(p) / 2 else []
+        assert L.leaks_in_shard([(5, text)], tests) == wanted, (passage, text)
+        leaks += bool(wanted)
+    assert leaks > len(texts) / 3
+
+
+def test_every_third_word_changed_is_a_leak():
+    p = [f"p{i}" for i in range(60)]
+    assert found(p, [w if (i + 1) % 3 else "x" for i, w in enumerate(p)]) == 59
+    assert found(p, [w if (i + 1) % 2 else "x" for i, w in enumerate(p)]) is None
+
+
+def test_chains_bound_single_stretches():
+    for _ in range(60):
+        p, text = RNG.choices("abcdefg", k=30), RNG.choices("abcdefgh", k=80)
+        tests = L.Tests([(1, " ".join(p))])
+        shard = L.Shard([(1, " ".join(text))], tests)
+        if not list(shard.candidates()):
+            continue
+        _, at, place, words = shard.runs(0, np.array([0]))
+        widest = max(int(w.max()) for w in L._widest(tests.passage(0)[None], shard.text[None, : len(text)], np.array([[3]])))
+        assert max(L.chains(at, place, words)[0]) >= widest
+
+
+def test_a_stock_phrase_stays_small():
+    """Thousands of passages and texts share a phrase: five million pairs of places, each counted by its documents only."""
+    import tracemalloc
+
+    stock = " ".join(f"stock{i}" for i in range(7))
+    unique = lambda k, n: " ".join(f"{k}x{n}x{i}" for i in range(30))
+    tests = L.Tests([(i, f"{unique('p', i)} {stock} {unique('q', i)}") for i in range(1000)])
+    docs = [(i, f"{unique('d', i)} {stock}") for i in range(5000)]
+    tracemalloc.start()
+    assert L.leaks_in_shard(docs, tests) == []
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
+def test_blocks_of_items(spark):
+    items = spark.createDataFrame([(i, text(20)) for i in range(30)] + [(99, text(2000)), (98, None)], "item_id long, passage string")
+    blocks = list(L.item_blocks(items, "item_id", "passage", 1500))
+    assert len(blocks) > 2 and sorted(i for b in blocks for i, _ in b) == [*range(30), 99]
+    assert all(len(b) == 1 or sum(len(p) for _, p in b) <= 1500 for b in blocks)
+    assert list(L.item_blocks(items.limit(0), "item_id", "passage")) == []
 
 
 def test_planted(spark):
