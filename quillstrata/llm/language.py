@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstrata.session import materialise
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl", "it", "sv")
 
 # Codes (two and three letters) and names of the eight languages, as labels spell them.
@@ -44,6 +46,8 @@ LABELS = {
 
 #: Labelled documents per language the model is fitted on, at most.
 SAMPLE = 2000
+#: Times the sample that are read of it, so that nulls and the spread of hashes leave enough.
+SPARE = 2
 FIRST_GRAM = 5
 #: What an unknown word counts against a known one: names and codes are unknown in every language.
 UNKNOWN_WEIGHT = 0.25
@@ -236,13 +240,27 @@ def _confidence(sums: Sequence[float], language: int) -> float:
 
 
 def fit(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents per language, in two rounds."""
-    labelled = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), label_language(F.col(label_column)).alias("label")).where("label IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    # each partition keeps its own first `sample` rows before the shuffle (WindowGroupLimit)
-    chosen = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).select("label", "text")
-    first = Model(_counted(chosen, None))
-    return Model(_counted(chosen, first))
+    """A model from at most ``sample`` labelled documents per language, those of least hash, in two rounds.
+
+    A first scan counts the labels and reads no text. The counts give each
+    label a bound of the hash under which some SPARE times the sample lies, so
+    that the second scan, which reads the texts, keeps a bounded number of
+    them; rows of one id count once. What is ranked has no texts.
+    """
+    hashed = F.xxhash64(F.col(id_column).cast("long"))
+    labelled = documents.select(F.col(id_column).cast("long").alias("id"), hashed.alias("h"), F.col(text_column).alias("text"), label_language(F.col(label_column)).alias("label")).where("label IS NOT NULL")
+    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language at most
+    below = F.lit(False)
+    for label, n in counts.items():
+        share = min(1.0, SPARE * sample / n)
+        bound = F.lit((1 << 63) - 1 if share == 1 else int(share * (1 << 64)) - (1 << 63))
+        below = below | (F.col("label") == label) & (F.col("h") <= bound)
+    near = materialise(labelled.where(below & F.col("text").isNotNull()).groupBy("label", "h", "id").agg(F.max("text").alias("text")), "sample")
+    order = Window.partitionBy("label").orderBy("h", "id")
+    first = near.select("label", "h", "id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).drop("nth")
+    chosen = near.join(first, ["label", "h", "id"], "left_semi").select("label", "text")
+    first_model = Model(_counted(chosen, None))
+    return Model(_counted(chosen, first_model))
 
 
 def _counted(chosen: DataFrame, model: Model | None) -> dict[str, Counter]:
