@@ -13,10 +13,14 @@ from quillstrata.sources.tables import table
 LEAST_TRUST = 1_000_000
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Surviving descriptions and identifiers of the groups of projects, concepts and concept records."""
+#: The record that gives an identifier says of which type it is: the surviving type must be that one.
+P4_DEPENDENCIES = (("identifier_value", "identifier_type"),)
+
+
+def p4_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, dict, list]:
+    """The rows of the three tables with their groups, their bundles and the rank of donors: what ``survivors`` takes."""
     from quillstrata.llm.components import components
-    from quillstrata.llm.survivors import counts_as_value, survivors, without_cut_mark
+    from quillstrata.llm.survivors import counts_as_value, without_cut_mark
     from quillstrata.session import materialise
 
     hosts = table(spark, folder, "hosts").select("origin_host", "trust").dropDuplicates(["origin_host"])
@@ -59,11 +63,27 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     # one pipeline for the three tables; hosts are a fixed table of a dozen rows; latest first, no time last
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(hosts, "origin_host", "left")
     rank = [F.coalesce(F.col("trust").cast("long"), F.lit(LEAST_TRUST)), F.coalesce(-F.col("at"), F.lit(1 << 62))]
+    # only a type that counts is said; a type that begins like another one is not cut off from it
+    said = F.when(counts_as_value(F.col("identifier_type")), F.regexp_replace(F.lower("identifier_type"), r"[^a-z0-9]", ""))
     bundles = {
-        "description": (F.col("description"), without_cut_mark(F.col("description")), {"description": F.col("description")}),
-        "identifier_value": (F.col("identifier_value"), F.col("written"), {"identifier_value": F.col("identifier_value"), "identifier_type": F.col("identifier_type")}),
+        "identifier_value": (F.col("identifier_value"), F.col("written"), {"value": F.col("identifier_value"), "with.identifier_type": said}),
+        "identifier_type": (F.col("identifier_type"), F.concat(said, F.lit("|")), {"value": F.col("identifier_type"), "as": said}),
+        "description": (F.col("description"), without_cut_mark(F.col("description")), {"value": F.col("description")}),
     }
-    return survivors(rows, bundles, rank).select(F.substring_index("grp", "|", 1).alias("tbl"), "group_id", "field", "row_id")
+    return rows, bundles, rank
+
+
+def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving record of each group, field by field with its donor."""
+    from quillstrata.llm.survivors import survivors
+
+    rows, bundles, rank = p4_rows(spark, folder)
+    return survivors(rows, bundles, rank, P4_DEPENDENCIES).select(F.substring_index("grp", "|", 1).alias("tbl"), "group_id", "field", "row_id", "value")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Surviving descriptions and identifiers of the groups of projects, concepts and concept records."""
+    return p4_survivors(spark, folder).where("field <> 'identifier_type'").drop("value")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,5 +128,5 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).select("doc_id", "seg_no", "begin", "end", "lang", "confidence")
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_segments": p9_segments}
+QUERIES = {"p4_found": p4_found, "p4_survivors": p4_survivors, "p7_ids": p7_ids, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_segments": p9_segments}
 ORACLES: dict[str, str] = {}

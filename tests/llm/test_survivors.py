@@ -30,7 +30,7 @@ def frame(spark, rows):
 
 
 def chosen(spark, rows):
-    bundles = {"text": (F.col("text"), s.without_cut_mark(F.col("text")), {"text": F.col("text")})}
+    bundles = {"text": (F.col("text"), s.without_cut_mark(F.col("text")), {"value": F.col("text")})}
     return sorted((r.group_id, r.row_id) for r in s.survivors(frame(spark, rows), bundles, [F.col("trust")]).collect())
 
 
@@ -50,7 +50,7 @@ def test_cut_off_against_brute_force(spark):
     words = ["".join(rng.choices("ab", k=rng.randint(1, 40))) for _ in range(120)]
     words += [w[: rng.randint(1, len(w))] for w in words]
     rows = [(rng.choice("xyz"), i, w, rng.randint(1, 3)) for i, w in enumerate(words, 1)]
-    values = s.distinct_values(frame(spark, rows).drop("bundle"), "text", F.col("text"), F.col("text"), {"text": F.col("text")}, [F.col("trust")])
+    values = s.distinct_values(frame(spark, rows).drop("bundle"), {"text": (F.col("text"), F.col("text"), {"value": F.col("text")})}, [F.col("trust")])
     found = {(r.grp, r.v) for r in s.without_cut_off(values).collect()}
     held = {(g, w) for g, _, w, _ in rows}
     assert found == {(g, w) for g, w in held if not any(h == g and v != w and v.startswith(w) for h, v in held)}
@@ -58,27 +58,46 @@ def test_cut_off_against_brute_force(spark):
 
 def test_branch_and_bound():
     rng = random.Random(9)
-    for _ in range(150):
-        lists = {n: sorted(((rng.randint(1, 5), rng.randint(0, 3)), i, {f"{n}.{n}": rng.choice("pq"), "with.b": rng.choice(["p", "q", ""])}) for i in range(rng.randint(1, 4))) for n in "abc"[: rng.randint(1, 3)]}
-        dependencies = [("a", "b")]
+    branched = 0
+    for _ in range(300):
+        order = ["a", "b", "c"]
+        lists = {
+            n: sorted(((rng.randint(1, 3),), i, {"as": rng.choice("pq"), **{f"with.{m}": rng.choice(["p", "q", ""]) for m in "abc"}}) for i in range(rng.randint(1, 4)))
+            for n in rng.sample(order, rng.randint(1, 3))
+        }
+        dependencies = [("a", "b"), ("c", "b"), ("b", "a")]
 
         def allowed(pick):
-            if "a" in pick and "b" in pick:
-                held = pick["a"][2]["with.b"]
-                return not held or held == pick["b"][2]["b.b"]
-            return True
+            return all(not (x in pick and y in pick and pick[x][2][f"with.{y}"]) or pick[x][2][f"with.{y}"] == pick[y][2]["as"] for x, y in dependencies)
 
-        nothing = ((1 << 62, 0), None, {})
-        picks = [dict(zip(lists, p)) for p in itertools.product(*([*cs, nothing] for cs in lists.values()))]
-        cost = lambda pick: [sum(c[0][k] for c in pick.values()) for k in range(2)]
-        least = min(cost(p) for p in picks if allowed({k: v for k, v in p.items() if v[1] is not None}))
-        best, proven = s.branch_and_bound(lists, {}, dependencies)
-        assert proven and cost({n: best.get(n, nothing) for n in lists}) == least
+        names = [n for n in order if n in lists]
+        picks = [{n: c for n, c in zip(names, p) if c} for p in itertools.product(*([*lists[n], None] for n in names))]
+        cost = lambda pick: (len(names) - len(pick), [(*pick[n][0], pick[n][1]) if n in pick else (9e99, 9e99) for n in names])
+        least = min(map(cost, filter(allowed, picks)))
+        best, proven = s.branch_and_bound(lists, {}, order, dependencies)
+        assert proven and allowed(best) and cost(best) == least
+        branched += best != {n: lists[n][0] for n in names}
+    assert branched > 50
 
 
 def test_search_goes_on_until_proven(spark):
-    """The records that agree come after the first candidates."""
-    rows = [("g", n, f"{n}{i}", {"r0": i, "row_id": i, "fields": {f"{n}.{n}": "good" if i == 9 else f"{n}{i}", "with.b": "good"}}) for n in "ab" for i in range(1, 12)]
+    """The records that agree come after the first candidates; another group is not in conflict."""
+    rows = [("g", n, f"{n}{i}", {"r0": i, "row_id": i, "fields": {"as": "good" if i == 9 else f"{n}{i}", "with.b": "good"}}) for n in "ab" for i in range(1, 12)]
+    rows += [("free", n, f"{n}1", {"r0": 1, "row_id": 1, "fields": {"as": "x", "with.b": "x"}}) for n in "ab"]
     df = spark.createDataFrame(rows, "grp string, bundle string, v string, best struct<r0:bigint,row_id:bigint,fields:map<string,string>>")
-    found = {r.bundle: r.row_id for r in s.best_bundles(df, [("a", "b")]).collect()}
-    assert found == {"a": 1, "b": 9}
+    found = {(r.grp, r.bundle): r.row_id for r in s.best_bundles(df, ["a", "b"], [("a", "b")]).collect()}
+    assert found == {("g", "a"): 1, ("g", "b"): 9, ("free", "a"): 1, ("free", "b"): 1}
+    assert {r.grp: r.conflict for r in s.free_choice(df, ["a", "b"], [("a", "b")]).collect()} == {"g": True, "free": False}
+    free = {(r.grp, r.bundle): r.row_id for r in s.best_bundles(df, ["a", "b"]).collect()}
+    assert free[("g", "b")] == 1  # without the dependency another row survives
+
+
+def test_type_follows_value(spark):
+    """The most trusted record has a type but no value; the value's record says of which type it is."""
+    rows = [("g", 1, "doi", "n/a", 1), ("g", 2, "orcid", "0000-1", 2), ("g", 3, "doi", "10.1/x", 3), ("h", 4, "doi", "10.1/y", 1), ("h", 5, "", "10.1/y", 2), ("lone", 6, "doi", "z", 1)]
+    df = spark.createDataFrame(rows, "grp string, row_id long, kind string, id string, trust long")
+    said = F.when(s.counts_as_value(F.col("kind")), F.col("kind"))
+    bundles = {"id": (F.col("id"), F.col("id"), {"value": F.col("id"), "with.kind": said}), "kind": (F.col("kind"), F.concat(said, F.lit("|")), {"value": F.col("kind"), "as": said})}
+    rows_of = lambda dependencies: sorted((r.grp, r.field, r.row_id, r.value) for r in s.survivors(df, bundles, [F.col("trust")], dependencies).collect())
+    assert rows_of([("id", "kind")]) == [("g", "id", 2, "0000-1"), ("g", "kind", 2, "orcid"), ("h", "id", 4, "10.1/y"), ("h", "kind", 4, "doi")]
+    assert ("g", "kind", 1, "doi") in rows_of([])
