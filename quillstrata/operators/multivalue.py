@@ -10,7 +10,7 @@ How a text is packed shows in itself:
 
 * Enclosed values (quotes, braces, a JSON array): what is outside separates.
 * ``;``, ``|``, tabs, line ends, bullets, ``(1)`` numbers and the words ``and``,
-  ``und``, ``&`` separate wherever they are not enclosed; a joining word that
+  ``und``, ``et``, ``och``, ``&`` separate wherever they are not enclosed; a joining word that
   belongs to a body's name (``Institute for Tides and Ice``) does not.
 * A comma separates unless it stands between a family and a given name, which
   it does if all values at odd places in its stretch are single words (particles
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 STRONG = b";|\n\r\t"
 STRONG_WIDE = ("；", "·", "•", "、", " / ")
 WIDE_COMMA = "，"
-JOINING = (" and ", " und ", " & ")
+JOINING = (" and ", " und ", " et ", " och ", " & ")
 WITHIN_BODIES = (" of ", " for ", " on ", " für ")
 REMARK = r"^\(?(?:and |und |& |with )?(?:et\.? al(?:ii|iae|ia)?|and others|others|und andere|u\. ?a|and \d+ (?:more|others)|\d+ (?:more|others)|etc)\.?\)?$|^(?:\.\.\.|…)$"
 NO_VALUE = r"^(?:n/?a|n\.a\.?|none|null|nil|nan|unknown|tbd|todo|\(none\)|\(unknown\)|no authors?|not available|[-–—?._*/\s]*)$"
@@ -131,13 +131,7 @@ def split_packed(texts: pa.Array) -> pa.ListArray:
     for text in STRONG_WIDE:
         strong |= _spread(_places(data, row, text) & free, len(text.encode()))
     digit = (data >= 48) & (data <= 57)
-    for k in (1, 2, 3):  # (1), (12), (123)
-        if total > k + 1:
-            at = np.zeros(total, bool)
-            at[: total - k - 1] = (data[: total - k - 1] == 40) & (data[k + 1 :] == 41)
-            for i in range(1, k + 1):
-                at[: total - i] &= digit[i:]
-            strong |= _spread(at & free, k + 2)
+    strong |= _numbers_in_parentheses(data, row, digit) & free
     remark = _places(lower, row, " et al") & free
     strong |= _spread(remark & _ends_word(data, row, len(" et al")), len(" et al"))
     comma = (data == 44) & free
@@ -175,6 +169,21 @@ def split_packed(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(list_offsets), values.filter(keep))
 
 
+def _numbers_in_parentheses(data: np.ndarray, row: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """Mask of the bytes of (1), (12), … of any length."""
+    out = np.zeros(len(data), bool)
+    starts, ends = _runs(~digit, row)
+    if len(starts):
+        inner = (starts > 0) & (ends < len(data))
+        starts, ends = starts[inner], ends[inner]
+        whole = (data[starts - 1] == 40) & (data[ends] == 41) & (row[starts - 1] == row[starts]) & (row[ends] == row[starts])
+        edges = np.zeros(len(data) + 1, np.int64)
+        edges[starts[whole] - 1] += 1
+        edges[ends[whole] + 1] -= 1
+        out = np.cumsum(edges)[:-1] > 0
+    return out
+
+
 def _ends_word(data: np.ndarray, row: np.ndarray, length: int) -> np.ndarray:
     """At each byte: the text ``length`` further on has no letter next."""
     total = len(data)
@@ -193,11 +202,19 @@ def _commas_between_values(data: np.ndarray, row: np.ndarray, cut: np.ndarray, c
         return out
     stretch_first, _ = _runs(cut, row)
     seg_first, seg_end = _runs(cut | comma, row)
-    # words of each segment that carry a name: those that don't begin with a small letter (particles do)
+    # words of each segment that carry a name: those that don't begin with a small letter (particles do), and those
+    # in which something else follows a hyphen or an apostrophe (al-Nude, d'Arelo)
+    solid = ~(blank | cut | comma)
+    small = (data >= 97) & (data <= 122)
     previous_open = np.zeros(len(data), bool)
-    previous_open[1:] = ~(blank | cut | comma)[:-1] & (row[1:] == row[:-1])
-    word = ~(blank | cut | comma) & ~previous_open
-    carrying = word & ~((data >= 97) & (data <= 122))
+    previous_open[1:] = solid[:-1] & (row[1:] == row[:-1])
+    word = solid & ~previous_open
+    joined = np.zeros(len(data), bool)
+    joined[1:] = np.isin(data[:-1], np.frombuffer(b"-'", np.uint8)) & previous_open[1:] & solid[1:] & ~small[1:]
+    number_of_word = np.cumsum(word)
+    later = np.zeros(int(number_of_word[-1]) + 1, bool)
+    later[number_of_word[joined]] = True
+    carrying = word & (~small | later[number_of_word])
     words = np.concatenate([[0], np.cumsum(word)])
     named = np.concatenate([[0], np.cumsum(carrying)])
     any_word = words[seg_end] - words[seg_first] > 0
@@ -234,9 +251,9 @@ def _cleaned(values: pa.Array, from_array: np.ndarray) -> pa.Array:
     doubled = pc.replace_substring(inner, '""', '"')
     values = pc.if_else(quoted, pc.if_else(pa.array(from_array), _unescaped(inner, from_array), doubled), values)
     values = pc.replace_substring_regex(values, r"(?s)^\{(.*)\}$", r"\1")
-    values = pc.replace_substring_regex(values, r"^(?:\(?\d{1,3}[.)]\s+|\[\d{1,3}\]\s*)", "")
+    values = pc.replace_substring_regex(values, r"^(?:\(?\d+[.)]\s+|\[\d+\]\s*)", "")
     # what a cut remark or a joining word may leave behind
-    values = pc.replace_substring_regex(values, r"^[,&\s]+|[,\s]+$|^(?i:and|und)\s+", "")
+    values = pc.replace_substring_regex(values, r"^[,&\s]+|[,\s]+$|^(?i:and|und|et|och)\s+", "")
     return pc.utf8_trim(values, blanks)
 
 

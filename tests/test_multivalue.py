@@ -15,9 +15,15 @@ CASES = {
     "Togu S, O'Gokaja TT": ["Togu S", "O'Gokaja TT"],
     "de la Hotagu, Jora": ["de la Hotagu, Jora"],
     "Sapi Hopo, Mubi Bazitu, et al.": ["Sapi Hopo", "Mubi Bazitu"],
+    "Tofe Rapako, Zigi Menu Vupuri, Hijo Bedu et Rosa Jineju": ["Tofe Rapako", "Zigi Menu Vupuri", "Hijo Bedu", "Rosa Jineju"],
     "Gihi Rezeju et al.": ["Gihi Rezeju"],
     '["L\\u00eddi, Gegu", "Nafi \\"N\\" Gobi"]': ["Lídi, Gegu", 'Nafi "N" Gobi'],
     "(1) Ziju Tepaga (2) Hope Naja": ["Ziju Tepaga", "Hope Naja"],
+    "(999) Aa Bb (1000) Cc Dd (x) (12a)": ["Aa Bb", "Cc Dd (x) (12a)"],
+    "1024. Ziju Tepaga\n1025. Hope Naja": ["Ziju Tepaga", "Hope Naja"],
+    "Joje al-Nude, Hato Zofebu": ["Joje al-Nude", "Hato Zofebu"],
+    "al-Nude, Joje": ["al-Nude, Joje"],
+    "Joje d'Arelo, Hato Zofebu": ["Joje d'Arelo", "Hato Zofebu"],
     "{Riba, Nesu}, {Vimite, Zoju}": ["Riba, Nesu", "Vimite, Zoju"],
     "Fife Lokaje, and Nusu Dunulu": ["Fife Lokaje", "Nusu Dunulu"],
     "Neho Dazogo • Pabo Padahi": ["Neho Dazogo", "Pabo Padahi"],
