@@ -139,7 +139,7 @@ def split_packed(texts: pa.Array) -> pa.ListArray:
 
     joining = np.zeros(total, bool)
     for text in JOINING:
-        joining |= _places(lower, row, text) & free
+        joining |= _places(lower, row, text) & free & ~strong
     inside = np.zeros(total, bool)
     for text in WITHIN_BODIES:
         inside |= _places(lower, row, text) & free
@@ -253,7 +253,7 @@ def _cleaned(values: pa.Array, from_array: np.ndarray) -> pa.Array:
     values = pc.replace_substring_regex(values, r"(?s)^\{(.*)\}$", r"\1")
     values = pc.replace_substring_regex(values, r"^(?:\(?\d+[.)]\s+|\[\d+\]\s*)", "")
     # what a cut remark or a joining word may leave behind
-    values = pc.replace_substring_regex(values, r"^[,&\s]+|[,\s]+$|^(?i:and|und|et|och)\s+", "")
+    values = pc.replace_substring_regex(values, r"^[,&\s]+|[,\s]+$|^(?i:and|und|och)\s+", "")
     return pc.utf8_trim(values, blanks)
 
 
