@@ -18,7 +18,10 @@ the consistent table), applied to all its lines without exploding them.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -29,7 +32,8 @@ from pyspark.sql import types as T
 from quillstrata.session import materialise
 
 BINS = 128  # of a value sketch
-DEPTH = 3  # levels of nesting that are told apart; deeper ones are compared as text
+#: Parts of a sketch that a worker holds before it hands them on; combining them again costs nothing but time.
+HELD = 200_000
 SAME_VALUES = 0.3  # least share of common values for a rename or a move
 RETYPE_COST = 0.5
 
@@ -48,45 +52,103 @@ Node = tuple[str | None, dict[int, int]]  # type, sketch
 Tree = dict[tuple[str, ...], Node]
 
 
+def _pairs(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a name comes twice")
+    return found
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+#: Reads as the JVM's parser does: repeated names, NaN and the infinities are no JSON.
+_JSON = json.JSONDecoder(object_pairs_hook=_pairs, parse_constant=_no_constant)
+
+
+def parsed_object(text: str | None) -> dict | None:
+    """The JSON object a line holds, None for anything else."""
+    if text is None:
+        return None
+    try:
+        value = _JSON.decode(text.strip(" \t\r\n"))
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def _kind(value: object) -> str | None:
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return "boolean"
+    return {str: "string", dict: "object", list: "array"}.get(type(value), "number")
+
+
+def _hash(value: object) -> int:
+    text = value if isinstance(value, str) else json.dumps(value, sort_keys=True, ensure_ascii=False)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def fields_of(line: dict) -> Iterator[tuple[tuple[str, ...], object]]:
+    """(path, value) of every field of a line, however deep."""
+    waiting: list[tuple[tuple[str, ...], dict]] = [((), line)]
+    while waiting:
+        at, held = waiting.pop()
+        for name, value in held.items():
+            path = (*at, name)
+            yield path, value
+            if isinstance(value, dict):
+                waiting.append((path, value))
+
+
+_PARTS = "series string, file_no int, path array<string>, kind string, bin int, n long, least long"
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each file's fields with their types and the parts of their sketches, combined as far as a worker holds them; a row with path null for each file."""
+    held: dict[tuple, list[int]] = {}
+    seen: set[tuple] = set()
+
+    def rows() -> pd.DataFrame:
+        out = pd.DataFrame([(*f, None, None, None, 0, None) for f in seen] + [(s, f, list(p), k, b, n, least) for (s, f, p, k, b), (n, least) in held.items()], columns=[c.split()[0] for c in _PARTS.split(", ")])
+        held.clear()
+        seen.clear()
+        return out.astype({"file_no": "Int32", "bin": "Int32", "n": "int64", "least": "Int64"})
+
+    for batch in batches:
+        for series, file_no, payload in zip(batch["series"], batch["file_no"], batch["payload"]):
+            seen.add((series, file_no))
+            for path, value in fields_of(parsed_object(payload) or {}):
+                h = _hash(value)
+                part = held.setdefault((series, file_no, path, _kind(value), h % BINS), [0, h])
+                part[0] += 1
+                part[1] = min(part[1], h)
+        if len(held) >= HELD:
+            yield rows()
+    yield rows()
+
+
 def schema_trees(lines: DataFrame) -> DataFrame:
     """Rows ``(series, file_no, nodes)`` from the lines ``(series, file_no, payload)``.
 
-    nodes: array of (path, type, bins, least). A line that is no JSON object
-    (broken, blank, null, another value) is not valid and says nothing; a file
-    without valid lines has no nodes.
+    nodes: array of (path, type, bins), null for a file without valid lines. A
+    line that is no JSON object (broken, blank, null, another value) is not
+    valid and says nothing. Lines are parsed once, and what a worker hands on
+    are sketches.
     """
-    parsed = lines.select("series", F.col("file_no").cast("int").alias("file_no"), F.try_parse_json("payload").alias("v"))
-    parsed = parsed.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
-    files = parsed.select("series", "file_no").distinct()
-    level = parsed.where("v IS NOT NULL").selectExpr("series", "file_no", "CAST(array() AS array<string>) AS path", "v")
-    parts = []
-    for _ in range(DEPTH):
-        level = level.selectExpr("series", "file_no", "path AS parent", "explode(try_variant_get(v, '$', 'map<string,variant>')) AS (key, v)").selectExpr("series", "file_no", "array_append(parent, key) AS path", "v")
-        parts.append(level)
-        level = level.where(F.schema_of_variant("v").startswith("OBJECT"))
-    nodes = parts[0]
-    for part in parts[1:]:
-        nodes = nodes.unionByName(part)
-    shape = F.schema_of_variant("v")
-    kind = (
-        F.when(F.expr("is_variant_null(v)") | (shape == "VOID"), None)
-        .when(shape.startswith("OBJECT"), "object")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape == "STRING", "string")
-        .otherwise("number")
-    )
-    value_hash = F.xxhash64(F.coalesce(F.expr("try_variant_get(v, '$', 'string')"), F.lit("")))
-    valued = nodes.select("series", "file_no", "path", kind.alias("kind"), value_hash.alias("h"))
-    binned = valued.groupBy("series", "file_no", "path", "kind", F.pmod("h", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    parts = lines.select("series", F.col("file_no").cast("int").alias("file_no"), "payload").mapInPandas(_sketched, _PARTS)
+    # spread by all keys first, as one file may hold a third of all lines; then the files' sketches of bounded size meet
+    binned = parts.groupBy("series", "file_no", "path", "kind", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least")).repartition("series", "file_no")
     per_kind = binned.groupBy("series", "file_no", "path", "kind").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bin", "least")).alias("bins"))
     # one type per field: the most frequent, then by name; nulls have none
     per_field = per_kind.groupBy("series", "file_no", "path").agg(
         F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("kind"),
         F.flatten(F.collect_list(F.when(F.col("kind").isNotNull(), F.col("bins")))).alias("bins"),
     )
-    trees = per_field.groupBy("series", "file_no").agg(F.collect_list(F.struct("path", "kind", "bins")).alias("nodes"))
-    return files.join(trees, ["series", "file_no"], "left")
+    trees = per_field.groupBy("series", "file_no").agg(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "kind", "bins"))).alias("nodes"))
+    return trees.select("series", "file_no", F.when(F.size("nodes") > 0, F.col("nodes")).alias("nodes"))
 
 
 def schema_changes(trees: DataFrame) -> DataFrame:
@@ -131,40 +193,44 @@ def resemblance(a: Mapping[int, int], b: Mapping[int, int]) -> float:
 def edit_script(before: Tree, after: Tree) -> list[tuple[str, tuple[str, ...], str]]:
     """The cheapest changes that turn one schema tree into the other: (change, path, new value)."""
     script: list[tuple[str, tuple[str, ...], str]] = []
-    _compare(before, after, (), (), script)
+    _compare(before, after, _Family(before), _Family(after), (), (), script)
     return sorted(_with_moves(before, after, script))
 
 
-def _children(tree: Tree, path: tuple[str, ...]) -> list[tuple[str, ...]]:
-    return sorted(p for p in tree if len(p) == len(path) + 1 and p[: len(path)] == path)
-
+class _Family:
+    """A tree's children by parent, and how many nodes stand below each, itself included."""
 
-def _size(tree: Tree, path: tuple[str, ...]) -> int:
-    return sum(1 for p in tree if p[: len(path)] == path)
+    def __init__(self, tree: Tree) -> None:
+        self.children: dict[tuple[str, ...], list[tuple[str, ...]]] = defaultdict(list)
+        self.size: dict[tuple[str, ...], int] = defaultdict(int)
+        for path in sorted(tree):
+            self.children[path[:-1]].append(path)
+            for length in range(1, len(path) + 1):
+                self.size[path[:length]] += 1
 
 
-def _compare(before: Tree, after: Tree, at_before: tuple[str, ...], at_after: tuple[str, ...], script: list) -> float:
-    old = {p[-1]: p for p in _children(before, at_before)}
-    new = {p[-1]: p for p in _children(after, at_after)}
+def _compare(before: Tree, after: Tree, olds: _Family, news: _Family, at_before: tuple[str, ...], at_after: tuple[str, ...], script: list) -> float:
+    old = {p[-1]: p for p in olds.children[at_before]}
+    new = {p[-1]: p for p in news.children[at_after]}
     gone = [p for name, p in old.items() if name not in new]
     come = [p for name, p in new.items() if name not in old]
     cost = 0.0
     matched = [(p, new[name]) for name, p in old.items() if name in new]
     if gone and come:
-        no_pair = max(_size(before, p) for p in gone) + max(_size(after, p) for p in come)
-        costs = [[_rename_cost(before, after, a, b) for b in come] for a in gone]
+        no_pair = max(olds.size[p] for p in gone) + max(news.size[p] for p in come)
+        costs = [[_rename_cost(before, after, olds, news, a, b) for b in come] for a in gone]
         for i, j in _assignment([[min(c, no_pair) for c in line] for line in costs]):
-            if costs[i][j] < _size(before, gone[i]) + _size(after, come[j]):
+            if costs[i][j] < olds.size[gone[i]] + news.size[come[j]]:
                 matched.append((gone[i], come[j]))
     taken_old, taken_new = {a for a, _ in matched}, {b for _, b in matched}
     for path in gone:
         if path not in taken_old:
             script.append(("removed", path, ""))
-            cost += _size(before, path)
+            cost += olds.size[path]
     for path in come:
         if path not in taken_new:
             script.append(("added", path, ""))
-            cost += _size(after, path)
+            cost += news.size[path]
     for a, b in matched:
         if a[-1] != b[-1]:
             script.append(("renamed", a, b[-1]))
@@ -172,16 +238,16 @@ def _compare(before: Tree, after: Tree, at_before: tuple[str, ...], at_after: tu
         if before[a][0] and after[b][0] and before[a][0] != after[b][0]:
             script.append(("retyped", a, after[b][0]))
             cost += RETYPE_COST
-        cost += _compare(before, after, a, b, script)
+        cost += _compare(before, after, olds, news, a, b, script)
     return cost
 
 
-def _rename_cost(before: Tree, after: Tree, a: tuple[str, ...], b: tuple[str, ...]) -> float:
+def _rename_cost(before: Tree, after: Tree, olds: _Family, news: _Family, a: tuple[str, ...], b: tuple[str, ...]) -> float:
     same = resemblance(before[a][1], after[b][1])
     if same < SAME_VALUES:
         return float("inf")
     unlike = 0.0 if _plain(a[-1]) == _plain(b[-1]) else 0.01  # between equal costs, the name that is nearer
-    return 1 - same + unlike + (RETYPE_COST if before[a][0] != after[b][0] else 0) + _compare(before, after, a, b, [])
+    return 1 - same + unlike + (RETYPE_COST if before[a][0] != after[b][0] else 0) + _compare(before, after, olds, news, a, b, [])
 
 
 def _plain(name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.functions.text import or_empty, uuid_key
@@ -117,12 +117,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from quillstrata.operators.drift import schema_changes, schema_trees
 
     changes = schema_changes(schema_trees(table(spark, folder, "drift_records").select("series", "file_no", "payload")))
-    top = changes.where("depth = 1")
-    moved_away = top.where("change = 'moved'").select("series", "file_no", F.lit("removed").alias("change"), "field", F.lit("").alias("new_value"))
-    moved_up = changes.where("change = 'moved' AND instr(new_value, '.') = 0").select(
-        "series", "file_no", F.lit("added").alias("change"), F.col("new_value").alias("field"), F.lit("").alias("new_value")
+
+    def row(change: str, field: Column, new_value: Column) -> Column:
+        return F.struct(F.lit(change).alias("change"), field.alias("field"), new_value.alias("new_value"))
+
+    # a move changes the top level where it begins there, where it ends there, or both
+    top, empty = F.col("depth") == 1, F.lit("")
+    moved, goes_up = F.col("change") == "moved", F.instr("new_value", ".") == 0
+    rows = F.array_compact(
+        F.array(
+            F.when(top & ~moved, F.struct("change", "field", "new_value")),
+            F.when(top & moved, row("removed", F.col("field"), empty)),
+            F.when(moved & goes_up, row("added", F.col("new_value"), empty)),
+        )
     )
-    return top.where("change <> 'moved'").drop("depth").unionByName(moved_away).unionByName(moved_up)
+    return changes.select("series", "file_no", F.explode(rows).alias("r")).select("series", "file_no", "r.*")
 
 
 def p6_table(spark: SparkSession, folder: str) -> DataFrame:

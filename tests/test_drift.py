@@ -25,6 +25,23 @@ def test_script():
     assert d.edit_script(before, before) == [] and d.edit_script({}, {}) == []
 
 
+def test_lines():
+    assert [d.parsed_object(x) for x in (None, "", " ", "[1]", "null", "{", '{"a": 1, "a": 2}', '{"a": NaN}', "[" * 100_000)] == [None] * 9
+    deep = d.parsed_object(' {"a": {"b": {"c": {"d": {"e": [1]}}}}, "f": null} ')
+    assert sorted(p for p, _ in d.fields_of(deep)) == [("a",), ("a", "b"), ("a", "b", "c"), ("a", "b", "c", "d"), ("a", "b", "c", "d", "e"), ("f",)]
+
+
+def test_deep_changes_and_plan(spark):
+    def line(leaf):
+        return json.dumps({"a": {"b": {"c": {"d": {"e": leaf}}}}})
+
+    df = spark.createDataFrame([("s", n, line(f"x{i}" if n == 1 else i)) for n in (1, 2) for i in range(20)], "series string, file_no int, payload string")
+    changes = d.schema_changes(d.schema_trees(df))
+    assert [(r.change, r.field, r.new_value, r.depth) for r in changes.collect()] == [("retyped", "a.b.c.d.e", "number", 5)]
+    plan = d.schema_changes(d.schema_trees(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 2 and plan.count("Exchange ") <= 6
+
+
 def test_files(spark):
     def lines(n, make):
         return [("projects-x", n, 100 * n + i, json.dumps(make(i))) for i in range(20)]
