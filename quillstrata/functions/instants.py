@@ -3,7 +3,10 @@
 A reading is ``(style, value, cost, norm)``: the way of writing it supposes, a
 number by which readings are ordered in time (microseconds since 1970, UTC), a
 cost, and the normal form. Cost 0 is the reading its host's declared clock and
-order of day and month give; readings against a declaration cost AGAINST.
+order of day and month give; readings against a declaration cost AGAINST. What
+no declaration settles costs 0 in every reading: the order of day and month of
+a host that declares ANY_ORDER, and an abbreviation of several zones none of
+which is the host's. There the order of the records decides.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ Reading = tuple[str, int, int, str]
 
 #: Cost of a reading against what its host declares: more than any order of records can make up for.
 AGAINST = 1000
+#: As order of day and month: none is declared.
+ANY_ORDER = "any"
 
 # Month names in English, German, French, Spanish, Portuguese, Dutch, Italian and Swedish,
 # without accents; a month's abbreviation is a beginning of at least three letters that fits one month only.
@@ -125,11 +130,12 @@ def _placed(style: str, wall: datetime, zone_text: str, host_zone: str, cost: in
         return []
     host = _zone(host_zone)
     if offsets:
-        out = [(style, _micros(wall - timedelta(minutes=o)), cost + AGAINST) for o in offsets]
-        here = (wall.replace(tzinfo=host).utcoffset() or timedelta(0)) // timedelta(minutes=1)
-        best = offsets.index(here) if here in offsets else 0
-        out[best] = (style, out[best][1], cost)
-        return out
+        if len(offsets) == 1:
+            return [(style, _micros(wall - timedelta(minutes=offsets[0])), cost)]
+        # those the host's clock has at some time of that year, best just now
+        own = [_minutes(wall.replace(tzinfo=host)), *(_minutes(datetime(wall.year, m, 1, tzinfo=host)) for m in (1, 7))]
+        meant = next(([o] for o in own if o in offsets), offsets)
+        return [(style, _micros(wall - timedelta(minutes=o)), cost + (0 if o in meant else AGAINST)) for o in offsets]
     first = wall - (wall.replace(tzinfo=host).utcoffset() or timedelta(0))  # the first of two; before the change, if skipped
     second = wall - (wall.replace(tzinfo=host, fold=1).utcoffset() or timedelta(0))
     out = [(f"{style}-local", _micros(first), cost)]
@@ -138,11 +144,19 @@ def _placed(style: str, wall: datetime, zone_text: str, host_zone: str, cost: in
     return out
 
 
-def _orders(a: int, b: int, order: str) -> list[tuple[str, int, int, int]]:
-    """(style, day, month, cost) of a numeric date in both orders; as validity decides, the caller drops what is impossible."""
-    dmy, mdy = ("dmy", a, b), ("mdy", b, a)
+def _minutes(at: datetime) -> int:
+    return (at.utcoffset() or timedelta(0)) // timedelta(minutes=1)
+
+
+def _orders(a: str, b: str, c: str, order: str) -> list[tuple[str, int, int, int, int]]:
+    """(style, year, month, day, cost) of a numeric date in every order; as validity decides, the caller drops what is impossible."""
+    dmy, mdy = ("dmy", _year(c), int(b), int(a)), ("mdy", _year(c), int(a), int(b))
+    against = 0 if order == ANY_ORDER else AGAINST
     first, second = (mdy, dmy) if order == "mdy" else (dmy, mdy)
-    return [(*first, 0)] + ([(*second, AGAINST)] if a != b else [])
+    out = [(*first, 0)] + ([(*second, against)] if int(a) != int(b) else [])
+    if len(a) == len(c) == 2:
+        out.append(("ymd", _year(a), int(b), int(c), against))
+    return out
 
 
 def _year(text: str) -> int:
@@ -213,7 +227,7 @@ def _of_form(style: str, m: re.Match, host_zone: str, order: str) -> list[tuple[
     elif style == "c":
         dates, clock = [(style, int(g[6]), month_of(g[0]), int(g[1]), 0)], (g[2], g[3], g[4], None, None, g[5] or "")
     else:
-        dates = [(name + g[1], _year(g[3]), month, day, cost) for name, day, month, cost in _orders(int(g[0]), int(g[2]), order)]
+        dates = [(name + g[1], *rest) for name, *rest in _orders(g[0], g[2], g[3], order)]
         clock = g[4:]
     hour, minute, second, fraction, half, zone_text = clock
     out = []
@@ -275,7 +289,7 @@ def _dates_of_form(style: str, m: re.Match, order: str) -> list[Reading]:
     elif style == "year":
         wanted = [(style, int(g[0]), None, None, 0)]
     elif style == "numeric":
-        wanted = [(name, _year(g[3]), month, day, cost) for name, day, month, cost in _orders(int(g[0]), int(g[2]), order)]
+        wanted = _orders(g[0], g[2], g[3], order)
     elif style == "cjk":
         wanted = [(style, int(g[0]), int(g[1]) if g[1] else None, int(g[2]) if g[2] else None, 0)]
     elif style == "named":

@@ -1,14 +1,22 @@
 """Differences between two copies of a table, by invertible Bloom lookup tables.
 
-Each row is reduced to a pair of hashes, (key, body). Pairs of both copies go
-into buckets by the hash of the whole pair, so that neither a hot key nor a hot
-group can overload one; a bucket is an invertible Bloom lookup table of
-``CELLS`` cells. The pairs of the second copy count negatively, which subtracts
-its tables from those of the first while they are being built: equal rows
-vanish, and only differences are left to be peeled. A bucket that holds more
-differences than its cells can tell apart does not peel; then all keys of that
-bucket count as revealed. So the result is exact whatever the share of
-differences; only the amount that is fetched depends on it.
+Each row is reduced to a pair of hashes, (key, body). A pair adds to three
+cells of one bucket; a bucket is an invertible Bloom lookup table of CELLS
+cells. The pairs of the second copy count negatively, which subtracts its
+tables from those of the first while they are being built: equal rows vanish,
+and only differences are left to be peeled.
+
+Cells are summed where the rows are read, before anything is sent. There are as
+many as the differences need, not the rows: a first table of strata, of fixed
+size, estimates how many these are (stratum i holds the pairs whose hash ends
+in i zeros; what peels from the upper strata says how much there is below). So
+what travels grows with the differences. Buckets go by the hash of the whole
+pair, so no key and no group can overload one.
+
+A bucket that holds more differences than its cells can tell apart does not
+peel; its pairs are then spread over FINER times as many buckets, by another
+hash, and so on. What does not peel after ROUNDS counts as revealed as a
+whole. So the result is exact whatever the estimate was.
 
 Cells hold sums of 32-bit halves of the hashes, not exclusive-ors, so that
 exact repeats of a row within a copy do not cancel each other: a cell with n
@@ -21,7 +29,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,140 +39,172 @@ from pyspark.sql import types as T
 from quillstrata.session import materialise
 
 CELLS = 240  # per bucket, in three parts: each pair has one cell in each
-ROWS_PER_BUCKET = 256  # of both copies together; up to some 190 differences peel
+PER_BUCKET = 96  # differences a bucket is meant for; up to some 190 peel
+STRATA = 40  # levels of the estimate; one more takes all that is above
+FINER = 8
+ROUNDS = 3
 
 _LOW = 0xFFFFFFFF
 
 
+#: What a cell sums: the count, and both halves of key, body and check.
+SUMS = ("n", "kh", "kl", "bh", "bl", "ch", "cl")
+
+
 def _halves(column: Column) -> tuple[Column, Column]:
     return F.shiftrightunsigned(column, 32), column.bitwiseAND(F.lit(_LOW))
 
 
-def revealed_keys(left: DataFrame, right: DataFrame, rows: int, cells: int = CELLS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def _signed_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    signed = left.select("kh", "body", F.lit(1).alias("sign")).unionByName(right.select("kh", "body", F.lit(-1).alias("sign")))
+    return signed.withColumn("ih", F.xxhash64("kh", "body"))
+
+
+def _tables(items: DataFrame, bucket: Column, part: int) -> DataFrame:
+    """Rows ``(bucket, cells)``: the cells that are not zero, summed on the map side first."""
+    sums = {"n": F.col("sign").cast("long")}
+    for name, column in (("k", F.col("kh")), ("b", F.col("body")), ("c", F.xxhash64("ih", F.lit(7)))):
+        for half, value in zip("hl", _halves(column)):
+            sums[name + half] = value * F.col("sign")
+    places = F.array(*(F.pmod(F.xxhash64("ih", F.lit(j)), F.lit(part)).cast("int") + F.lit(j * part) for j in range(3)))
+    spread = items.select(bucket.alias("bucket"), F.explode(places).alias("cell"), *(value.alias(name) for name, value in sums.items()))
+    table = spread.groupBy("bucket", "cell").agg(*(F.sum(name).alias(name) for name in SUMS))
+    some = F.lit(False)
+    for name in SUMS:
+        some = some | (F.col(name) != 0)
+    return table.where(some).groupBy("bucket").agg(F.collect_list(F.struct("cell", *SUMS)).alias("cells"))
+
+
+def estimated_differences(items: DataFrame, cells: int = CELLS) -> int:
+    """About how many pairs of ``_signed_pairs`` one side lacks, from strata; never less than what was peeled for certain."""
+    part = cells // 3
+    level = F.least(F.lit(STRATA), F.length(F.regexp_extract(F.lpad(F.bin("ih"), 64, "0"), "0*$", 0)))
+    found = {r.bucket: r.cells for r in _tables(items, level, part).collect()}  # at most STRATA + 1 rows of fixed size
+    total = 0
+    for at in range(STRATA, -1, -1):
+        if at not in found:
+            continue
+        peeled = peel(np.zeros(len(found[at]), np.int64), np.array([tuple(c) for c in found[at]], np.int64), 1, part)
+        if peeled[1][0]:
+            # strata below double from one to the next
+            return max(total, 1) * (2 << at)
+        total += len(peeled[0])
+    return total
+
+
+def revealed_keys(left: DataFrame, right: DataFrame, cells: int = CELLS, per_bucket: int = PER_BUCKET, differences: int | None = None) -> DataFrame:
     """Hashes of the keys whose rows are not the same in both: one column ``kh``, distinct.
 
     ``left`` and ``right`` have the columns ``kh`` and ``body`` (longs, no
-    nulls). ``rows`` sizes the tables only; any number gives the right keys.
+    nulls). ``differences`` sizes the tables instead of the estimate; any
+    number gives the right keys.
     """
     if cells % 3 or cells < 3:
         raise ValueError("cells must be a multiple of 3")
     part = cells // 3
-    buckets = max(1, -(-rows // rows_per_bucket))
-    signed = left.select("kh", "body", F.lit(1).alias("sign")).unionByName(right.select("kh", "body", F.lit(-1).alias("sign")))
-    items = signed.withColumn("ih", F.xxhash64("kh", "body")).withColumn("bucket", F.pmod("ih", F.lit(buckets)).cast("int"))
-    # one narrow shuffle by bucket serves the subtraction, the peeling and the way round it
-    items = items.repartition("bucket")
-    check = F.xxhash64("ih", F.lit(7))
-    sums = []
-    for name, column in (("k", F.col("kh")), ("b", F.col("body")), ("c", check)):
-        for half, value in zip("hl", _halves(column)):
-            sums.append((f"{name}{half}", value * F.col("sign")))
-    spread = items.select(
-        "bucket",
-        F.explode(F.array(*(F.pmod(F.xxhash64("ih", F.lit(j)), F.lit(part)).cast("int") + F.lit(j * part) for j in range(3)))).alias("cell"),
-        F.col("sign").cast("long").alias("n"),
-        *(value.alias(name) for name, value in sums),
-    )
-    names = ["n", *(name for name, _ in sums)]
-    table = spread.groupBy("bucket", "cell").agg(*(F.sum(name).alias(name) for name in names))
-    nonzero = F.lit(False)
-    for name in names:
-        nonzero = nonzero | (F.col(name) != 0)
-    # at most `cells` rows per bucket, and no shuffle: the rows lie by bucket already
-    packed = table.where(nonzero).groupBy("bucket").agg(F.collect_list(F.struct("cell", *names)).alias("cells"))
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kh", T.LongType())])
-
-    def peel_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found_bucket: list[int] = []
-            found_key: list[int | None] = []
-            for bucket, packed_cells in zip(batch["bucket"], batch["cells"]):
-                keys = peel([tuple(int(c[x]) for x in ("cell", *names)) for c in packed_cells], part)
-                for key in [None] if keys is None else keys:
-                    found_bucket.append(int(bucket))
-                    found_key.append(key)
-            yield pd.DataFrame({"bucket": pd.Series(found_bucket, dtype="int32"), "kh": pd.Series(found_key, dtype="Int64")})
-
-    peeled = packed.mapInPandas(peel_batches, schema)
-    whole = items.join(peeled.where("kh IS NULL").select("bucket"), "bucket", "left_semi").select("kh")
-    return peeled.where("kh IS NOT NULL").select("kh").unionByName(whole).distinct()
-
+    items = _signed_pairs(left, right)
+    if differences is None:
+        differences = estimated_differences(items)
+    buckets = max(1, -(-differences // per_bucket))
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("kh", T.LongType())])
 
-def peel(table: list[tuple[int, ...]], part: int) -> set[int] | None:
-    """Keys of the pairs left in a subtracted table; None if they can't all be told apart.
-
-    table: (cell, count, key high, key low, body high, body low, check high, check low) of the nonzero cells.
+    def peel_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
+            owner = np.asarray(pc.list_parent_indices(lists))
+            flat = lists.flatten()
+            table = np.stack([flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(SUMS) + 1)], axis=1)
+            keys, stuck = peel(owner, table, len(names), part)
+            found = [pa.array(np.concatenate([names[keys[:, 0]], names[stuck]]), pa.int64()), pa.concat_arrays([pa.array(keys[:, 1], pa.int64()), pa.nulls(int(stuck.sum()), pa.int64())])]
+            yield pa.RecordBatch.from_arrays(found, names=["bucket", "kh"])
+
+    out, seed = None, 11
+    for turn in range(ROUNDS):
+        bucket = F.pmod(F.xxhash64("ih", F.lit(seed)), F.lit(buckets))
+        peeled = materialise(_tables(items, bucket, part).mapInArrow(peel_batches, schema), "peeled")
+        # a bucket that does not peel gives nothing in this turn: its pairs come again
+        stuck = peeled.where("kh IS NULL").select("bucket")
+        sure = peeled.join(stuck, "bucket", "left_anti").select("kh")
+        out = sure if out is None else out.unionByName(sure)
+        if stuck.isEmpty():
+            return out.distinct()
+        items = items.withColumn("bucket", bucket).join(stuck, "bucket", "left_semi").drop("bucket")
+        buckets, seed = buckets * FINER, seed + 1
+    return out.unionByName(items.select("kh")).distinct()
+
+
+def peel(owner: np.ndarray, table: np.ndarray, buckets: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, key) of the pairs in subtracted tables, and by bucket whether some cannot be told apart.
+
+    table: rows (cell, *SUMS) of the nonzero cells, owner: their buckets. All
+    buckets are peeled together, one layer of certain cells at a time.
     """
-    cells = {row[0]: list(row[1:]) for row in table}
-    keys: set[int] = set()
-    queue = list(cells)
-    while queue:
-        at = queue.pop()
-        cell = cells.get(at)
-        if cell is None or cell[0] == 0:
-            continue
-        n = cell[0]
-        if any(v % n for v in cell[1:]):
-            continue
-        one = [v // n for v in cell[1:]]
-        if any(not 0 <= v <= _LOW for v in one):
-            continue
-        kh, body, check = (_signed(one[i], one[i + 1]) for i in (0, 2, 4))
+    cells = np.zeros((buckets * 3 * part, len(SUMS)), np.int64)
+    cells[owner * 3 * part + table[:, 0]] = table[:, 1:]
+    found: list[np.ndarray] = []
+    look = np.flatnonzero(cells.any(axis=1))
+    while len(look):
+        n = cells[look, 0]
+        look, n = look[n != 0], n[n != 0]
+        one, rest = np.divmod(cells[look, 1:], n[:, None])
+        ok = ~rest.any(axis=1) & ((one >= 0) & (one <= _LOW)).all(axis=1)
+        look, n, one = look[ok], n[ok], one[ok].astype(np.uint64)
+        kh, body, check = (one[:, i] << np.uint64(32) | one[:, i + 1] for i in (0, 2, 4))
         ih = xxhash64_longs(kh, body)
-        if xxhash64_longs(ih, 7, second_is_int=True) != check:
-            continue
-        places = [xxhash64_longs(ih, j, second_is_int=True) % part + j * part for j in range(3)]
-        if at not in places:
-            continue
-        keys.add(kh)
-        taken = [n, *(v * n for v in one)]
-        for place in places:
-            rest = [a - b for a, b in zip(cells.get(place, [0] * 7), taken)]
-            if any(rest):
-                cells[place] = rest
-                queue.append(place)
-            else:
-                cells.pop(place, None)
-    return None if cells else keys
-
-
-def _signed(high: int, low: int) -> int:
-    value = high << 32 | low
-    return value - (1 << 64) if value >> 63 else value
+        bucket, cell = look // (3 * part), look % (3 * part)
+        places = np.stack([_modulo(xxhash64_longs(ih, j, second_is_int=True), part) + j * part for j in range(3)], axis=1)
+        ok = (xxhash64_longs(ih, 7, second_is_int=True) == check) & (places == cell[:, None]).any(axis=1)
+        if not ok.any():
+            break
+        # a pair is certain in up to three cells: it is taken out once
+        _, once = np.unique(np.stack([bucket[ok], ih[ok].view(np.int64)]), axis=1, return_index=True)
+        chosen = np.flatnonzero(ok)[once]
+        taken = np.concatenate([n[chosen, None], one[chosen].astype(np.int64) * n[chosen, None]], axis=1)
+        look = (bucket[chosen, None] * 3 * part + places[chosen]).ravel()
+        np.subtract.at(cells, look, np.repeat(taken, 3, axis=0))
+        found.append(np.stack([bucket[chosen], kh[chosen].view(np.int64)], axis=1))
+        look = np.unique(look)
+    stuck = cells.any(axis=1).reshape(buckets, 3 * part).any(axis=1)
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64), stuck
+
+
+def _modulo(hashes: np.ndarray, part: int) -> np.ndarray:
+    """As pmod of signed numbers."""
+    return np.mod(hashes.view(np.int64), part)
 
 
 # The five primes of the public XXH64 hash function.
 _P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
-_M = (1 << 64) - 1
+_U = np.uint64
 
 
-def _rotate(x: int, by: int) -> int:
-    return (x << by | x >> (64 - by)) & _M
+def _rotate(x: np.ndarray, by: int) -> np.ndarray:
+    return x << _U(by) | x >> _U(64 - by)
 
 
-def _mix(h: int) -> int:
-    h = (h ^ h >> 33) * _P2 & _M
-    h = (h ^ h >> 29) * _P3 & _M
-    return h ^ h >> 32
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> _U(33)) * _U(_P2)
+    h = (h ^ h >> _U(29)) * _U(_P3)
+    return h ^ h >> _U(32)
 
 
-def _one_long(value: int, seed: int) -> int:
-    h = (seed + _P5 + 8) & _M
-    h ^= _rotate((value & _M) * _P2 & _M, 31) * _P1 & _M
-    return _mix((_rotate(h, 27) * _P1 + _P4) & _M)
+def _one_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = seed + _U(_P5 + 8)
+    h = h ^ _rotate(value * _U(_P2), 31) * _U(_P1)
+    return _mix(_rotate(h, 27) * _U(_P1) + _U(_P4))
 
 
-def _one_int(value: int, seed: int) -> int:
-    h = (seed + _P5 + 4) & _M
-    h ^= (value & _LOW) * _P1 & _M
-    return _mix((_rotate(h, 23) * _P2 + _P3) & _M)
+def _one_int(value: int, seed: np.ndarray) -> np.ndarray:
+    h = seed + _U(_P5 + 4)
+    h = h ^ np.full(1, value & _LOW, _U) * _U(_P1)
+    return _mix(_rotate(h, 23) * _U(_P2) + _U(_P3))
 
 
-def xxhash64_longs(first: int, second: int, second_is_int: bool = False) -> int:
-    """What Spark's xxhash64 gives for a long and a second long (or int), as a signed number."""
-    h = _one_long(first, 42)
-    h = _one_int(second, h) if second_is_int else _one_long(second, h)
-    return h - (1 << 64) if h >> 63 else h
+def xxhash64_longs(first: np.ndarray, second: np.ndarray | int, second_is_int: bool = False) -> np.ndarray:
+    """What Spark's xxhash64 gives for longs and second longs (or an int), all as unsigned arrays."""
+    h = _one_long(first, np.full(1, 42, _U))
+    return _one_int(second, h) if second_is_int else _one_long(second, h)
 
 
 def field_differences(
@@ -172,7 +214,6 @@ def field_differences(
     key: Column,
     name: Column,
     fields: Mapping[str, Column],
-    rows: int,
 ) -> DataFrame:
     """Rows ``(main_id, copy_id, field)``: unpartnered rows of either side and fields in which partners differ.
 
@@ -190,7 +231,7 @@ def field_differences(
     keyed = [side.where(F.col("k").isNotNull()) for side in sides]
     keyless = [side.where(F.col("k").isNull()) for side in sides]
     hashed = [side.select(F.xxhash64("k").alias("kh"), "body") for side in keyed]
-    keys = materialise(revealed_keys(*hashed, rows=rows), "revealed")
+    keys = materialise(revealed_keys(*hashed), "revealed")
 
     def fetched(side: DataFrame) -> DataFrame:
         return side.withColumn("kh", F.xxhash64("k")).join(keys, "kh", "left_semi").drop("kh")

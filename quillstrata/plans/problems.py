@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,11 @@ from quillstrata.sources.tables import table
 REFERENCE_SALTS = {"projects": 8, "concepts": 8, "observations": 1}
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Times and dates of many kinds in one unambiguous form."""
-    from quillstrata.functions.instants import is_exact_date, is_exact_instant, read_date, read_instant
-    from quillstrata.operators.timestamps import chosen_readings
+def _readings(spark: SparkSession, folder: str, choose: Callable, declares_order: bool = True) -> DataFrame:
+    from quillstrata.functions.instants import ANY_ORDER, is_exact_date, is_exact_instant, read_date, read_instant
 
-    # the declarations of the hosts: a fixed table, one row a host
-    declared = table(spark, folder, "hosts").select("origin_host", "tz", "date_order").limit(MOST_HOSTS + 1).collect()
-    if len(declared) > MOST_HOSTS:
-        raise ValueError(f"more than {MOST_HOSTS} hosts")
-    conventions = {r.origin_host: (r.tz or "UTC", r.date_order or "dmy") for r in declared if r.origin_host is not None}
+    order = F.coalesce("date_order", F.lit("dmy")) if declares_order else F.lit(ANY_ORDER)
+    conventions = table(spark, folder, "hosts").select(F.col("origin_host").alias("source"), F.coalesce("tz", F.lit("UTC")).alias("zone"), order.alias("date_order"))
     parts = [
         table(spark, folder, name).select(
             F.lit(name).alias("tbl"), F.col("origin_host").alias("source"), order.alias("seq"), F.col(row_id).alias("row_id"), F.col(text).alias("text")
@@ -35,12 +32,26 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     times, dates = (read_instant, is_exact_instant), (read_date, is_exact_date)
-    return chosen_readings(
+    return choose(
         rows, F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), conventions,
         {"observation_records": times, "source_records": times, "sources": dates},
     )
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Times and dates of many kinds in one unambiguous form."""
+    from quillstrata.operators.timestamps import chosen_readings
+
+    return _readings(spark, folder, chosen_readings)
+
+
+def p3_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without what the declared hosts say of the order of day and month: the order of the records decides."""
+    from quillstrata.operators.timestamps import chosen_readings
+
+    return _readings(spark, folder, chosen_readings, declares_order=False)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references per table, field and month."""
     from quillstrata.operators.references import orphan_references
@@ -80,9 +91,6 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return exploded_values(table(spark, folder, "sources"), "id", "authors", "source_id", "author")
 
 
-#: Hosts are few by nature; their declarations are given to every task.
-MOST_HOSTS = 10_000
-
 #: Compared fields of both stores; origin and time apart, texts exactly, null as ''.
 COMPARED = {
     "projects": ("name", "description", "status", "created_at", "origin_host"),
@@ -99,7 +107,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
         main, copy = table(spark, folder, tbl), table(spark, folder, f"{tbl}_copy")
         fields = {"uuid": or_empty(uuid_key(F.col("uuid")))} | {n: or_empty(F.unix_micros(n).cast("string") if n == "created_at" else F.col(n)) for n in names}
         found = field_differences(
-            main, copy, "id", uuid_key(F.col("uuid")), F.col("name"), fields, rows=main.count() + copy.count(),
+            main, copy, "id", uuid_key(F.col("uuid")), F.col("name"), fields
         ).select(F.lit(tbl).alias("tbl"), "main_id", "copy_id", "field")
         out = found if out is None else out.unionByName(found)
     return out
@@ -182,5 +190,5 @@ SELECT '{tbl}' AS tbl, main_id, copy_id, unnest(list_filter(fields, lambda f: f
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_table": p6_table}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_inferred": p3_inferred, "p5_found": p5_found, "p6_found": p6_found, "p6_table": p6_table}
 ORACLES: dict[str, str] = {"p2_found": _p2_sql(), "p5_found": P5_SQL}

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from quillstrata.functions.text import or_empty, uuid_key
@@ -23,13 +25,15 @@ def run(spark, a, b):
     schema = "id long, uuid string, name string, value string, kh string"
     frames = [spark.createDataFrame([(*r, "clash") for r in rows], schema) for rows in (a, b)]
     fields = {n: or_empty(F.col(n)) for n in ("uuid", "name", "value")}
-    found = d.field_differences(*frames, "id", uuid_key(F.col("uuid")), F.col("name"), fields, rows=len(a) + len(b))
+    found = d.field_differences(*frames, "id", uuid_key(F.col("uuid")), F.col("name"), fields)
     return sorted((r.main_id, r.copy_id, r.field) for r in found.collect())
 
 
 def test_hash_is_sparks(spark):
     row = spark.sql("SELECT xxhash64(-5L, 1234567890123L) AS a, xxhash64(-99L, 7) AS b").first()
-    assert (row.a, row.b) == (d.xxhash64_longs(-5, 1234567890123), d.xxhash64_longs(-99, 7, second_is_int=True))
+    unsigned = lambda x: np.array([x], np.int64).view(np.uint64)
+    signed = lambda x: int(x.view(np.int64)[0])
+    assert (row.a, row.b) == (signed(d.xxhash64_longs(unsigned(-5), unsigned(1234567890123))), signed(d.xxhash64_longs(unsigned(-99), 7, second_is_int=True)))
 
 
 def test_against_brute_force(spark):
@@ -51,8 +55,22 @@ def test_overfull_buckets_and_repeats(spark):
     left = spark.range(400).select(F.col("id").alias("kh"), F.col("id").alias("body"))
     right = spark.range(200, 700).select(F.col("id").alias("kh"), F.when(F.col("id") < 300, -F.col("id")).otherwise(F.col("id")).alias("body"))
     wanted = set(range(300)) | set(range(400, 700))
-    for cells in (3, 30, 3000):  # the first two cannot peel: then all keys of a bucket count
-        found = {r.kh for r in d.revealed_keys(left, right, 900, cells=cells, rows_per_bucket=450).collect()}
-        assert found >= wanted and (cells < 3000 or found == wanted)
+    for cells, differences in ((3, 1), (30, 1), (240, None), (3000, 1)):  # the first cannot peel: then all keys of a bucket count
+        found = {r.kh for r in d.revealed_keys(left, right, cells=cells, differences=differences).collect()}
+        assert found >= wanted and (cells < 240 or found == wanted)
     three = left.unionByName(left).unionByName(left)
-    assert {r.kh for r in d.revealed_keys(three.where("kh < 5"), left.where("kh < 5"), 20).collect()} == set(range(5))
+    assert {r.kh for r in d.revealed_keys(three.where("kh < 5"), left.where("kh < 5")).collect()} == set(range(5))
+
+
+def test_estimate_and_what_travels(spark):
+    left = spark.range(0, 60_000, 1, 8).select(F.xxhash64("id").alias("kh"), F.xxhash64("id", F.lit(1)).alias("body"))
+    assert d.estimated_differences(d._signed_pairs(left, left)) == 0
+    for n in (10, 3000):
+        right = left.where(F.pmod("kh", F.lit(60_000 // n)) != 0)
+        lost = left.count() - right.count()
+        assert lost / 3 <= d.estimated_differences(d._signed_pairs(left, right)) <= 3 * lost
+        assert d.revealed_keys(left, right).count() == lost
+    # cells are summed before they are sent: each of the 16 parts sends one row a cell at most
+    tables = d._tables(d._signed_pairs(left, left), F.lit(0), d.CELLS // 3)
+    plan = tables._jdf.queryExecution().executedPlan().toString()  # from the result down to the scan
+    assert "partial_sum" in plan and plan.index("Exchange") < plan.index("partial_sum") < plan.index("Generate")

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillstrata.functions.instants import AGAINST, is_exact_instant, read_date, read_instant
+from quillstrata.functions.instants import AGAINST, ANY_ORDER, is_exact_instant, read_date, read_instant
 from quillstrata.operators import timestamps as t
 
 
@@ -62,7 +62,7 @@ def test_cheapest_path_over_partitions(spark):
     for partitions in (1, 5):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        found = t.chosen_readings(df, F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), {}, {"g": (_options, lambda x: False)}).collect()
+        found = t.chosen_readings(df, F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), None, {"g": (_options, lambda x: False)}).collect()
         path = [(r.norm[0], int(r.norm[1:]), 0) for r in sorted(found, key=lambda r: r.row_id) if r.row_id < 100]
         assert len(path) == 9 and _cost(path) == best
     spark.conf.set("spark.sql.shuffle.partitions", 4)
@@ -71,7 +71,36 @@ def test_cheapest_path_over_partitions(spark):
 
 def test_declared_reading_wins(spark):
     df = spark.createDataFrame([("g", None, 1, 1, "05/06/2024 10:00", 1), ("g", "us", 1, 2, "05/06/2024 10:00", 1), ("g", "us", 2, 3, "2024-05-06T10:00:00Z", 1), ("g", "us", 2, 3, None, 1)], "tbl string, source string, seq long, row_id long, text string, norm int")
-    found = t.chosen_readings(df, F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), {"us": ("UTC", "mdy")}, {"g": (read_instant, is_exact_instant)}).collect()
+    found = t.chosen_readings(df, F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), spark.createDataFrame([("us", "UTC", "mdy"), (None, "Asia/Tokyo", "mdy")], "source string, zone string, date_order string"), {"g": (read_instant, is_exact_instant)}).collect()
     assert sorted((r.row_id, r.norm) for r in found) == [(1, "2024-06-05T10:00:00.000000Z"), (2, "2024-05-06T10:00:00.000000Z")]
     assert AGAINST > 100
-    assert t.chosen_readings(df.limit(0), F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), {}, {"g": (read_instant, is_exact_instant)}).count() == 0
+    assert t.chosen_readings(df.limit(0), F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), None, {"g": (read_instant, is_exact_instant)}).count() == 0
+
+
+def test_path_decides_what_no_declaration_settles(spark):
+    """Orders of day and month, years of two digits and zone abbreviations that are left open, against all paths."""
+    rng = random.Random(12)
+    made = []
+    for source, order in (("a", ANY_ORDER), ("b", ANY_ORDER), ("c", "dmy"), ("d", ANY_ORDER)):
+        at = 0
+        for seq in range(7):
+            at += rng.randint(1, 40)
+            day, month = 1 + at % 12, 1 + (at // 12) % 12
+            text = rng.choice([f"{day:02d}/{month:02d}/2024 10:00", f"{month:02d}-{day:02d}-24 08:00", f"2024-{month:02d}-{day:02d} 10:00 IST", f"2024-{month:02d}-{day:02d}T10:00:00Z", "no time"])
+            made.append((source, order, seq, text))
+    rows = [("g", s, n, i, x, "clash") for i, (s, _, n, x) in enumerate(made)]
+    df = spark.createDataFrame(rows, "tbl string, source string, seq long, row_id long, text string, norm string")
+    declared = spark.createDataFrame(sorted({(s, "UTC", o) for s, o, _, _ in made}), "source string, zone string, date_order string")
+    args = (df, F.col("tbl"), F.col("source"), F.col("seq"), F.col("row_id"), F.col("text"), declared, {"g": (read_instant, lambda x: False)})
+    found = {r.row_id: r.norm for r in t.chosen_readings(*args).collect()}
+    several = {r.row_id for r in t.all_readings(*args).where("size(times) > 1").collect()}
+    assert len(several) > 8
+    decided = 0
+    for source in "abcd":
+        own = [(i, read_instant(x, "UTC", o)) for i, (s, o, _, x) in enumerate(made) if s == source]
+        own = [(i, readings) for i, readings in own if readings]
+        best = min(_cost(p) for p in itertools.product(*(r for _, r in own)))
+        path = [next(r for r in readings if r[3] == found[i]) for i, readings in own]
+        assert _cost(path) == best
+        decided += sum(found[i] != readings[0][3] for i, readings in own)
+    assert decided > 0  # without the path the reading listed first would stand
