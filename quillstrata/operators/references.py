@@ -13,8 +13,10 @@ means is declared:
 
 Targets are reduced to one row per key (with the earliest time they exist)
 before the join, by partial aggregation on the map side, so the join never
-multiplies rows. A hot key on the reference side is spread over ``salts``
-partitions, for which its single target row is copied.
+multiplies rows. A key that holds much of the references is spread: a sample of
+one in SAMPLED says which keys these are (at most 1 / HOT of them, whatever the
+data, so they may be broadcast) and how many parts each needs; its single
+target row is copied as often, all other targets not at all.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCHES = ("simple", "partial", "full")
+#: One reference in so many is looked at for hot keys, and the share of the references from which on a key is hot.
+SAMPLED = 32
+HOT = 1 / 500
 
 
 def orphan_references(
@@ -39,7 +44,6 @@ def orphan_references(
     deleted: DataFrame | None = None,
     deleted_columns: Sequence[Column] = (),
     match: str = "simple",
-    salts: int = 1,
 ) -> DataFrame:
     """Rows ``(row_id, seen_at, reason)`` of the references without a target at their time.
 
@@ -74,23 +78,24 @@ def orphan_references(
         if match == "full" and len(there) < len(names):
             parts.append(rows.select("row_id", "seen_at", F.lit("incomplete").alias("reason")))
             continue
-        parts.append(_orphans_of_mask(rows, there, held, gone, salts))
+        parts.append(_orphans_of_mask(rows, there, held, gone))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _orphans_of_mask(rows: DataFrame, there: list[str], held: DataFrame, gone: DataFrame | None, salts: int) -> DataFrame:
+def _orphans_of_mask(rows: DataFrame, there: list[str], held: DataFrame, gone: DataFrame | None) -> DataFrame:
     known = held.where(_all(F.col(n).isNotNull() for n in there)).groupBy(*there).agg(F.min("from_at").alias("from_at"), F.lit(False).alias("was_deleted"))
     if gone is not None:
         dropped = gone.where(_all(F.col(n).isNotNull() for n in there)).groupBy(*there).agg(F.lit(None).cast("timestamp").alias("from_at"), F.lit(True).alias("was_deleted"))
         # one row per key that either side knows: a second join with the many references is saved
         known = known.unionByName(dropped).groupBy(*there).agg(F.min("from_at").alias("from_at"), F.max("was_deleted").alias("was_deleted"))
     keys = list(there)
-    if salts > 1:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = hot_keys(rows, there)
+    if hot is not None:
+        rows = rows.join(F.broadcast(hot), there, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        known = known.join(F.broadcast(hot), there, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         keys.append("salt")
     joined = rows.join(known, keys, "left")
     reason = (
@@ -102,6 +107,22 @@ def _orphans_of_mask(rows: DataFrame, there: list[str], held: DataFrame, gone: D
     return joined.select("row_id", "seen_at", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+def hot_keys(rows: DataFrame, there: list[str]) -> DataFrame | None:
+    """Rows ``(*there, parts)`` of the keys that hold more than HOT of the rows, by a sample; None if there are none.
+
+    parts is such that a part holds about HOT of the rows. This settles only
+    where rows are joined, never what comes out.
+    """
+    sample = rows.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLED)) == 0)
+    least = max(8.0, sample.count() * HOT)
+    counts = sample.groupBy(*there).agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") > least).collect()  # 1 / HOT rows at most
+    if not found:
+        return None
+    schema = counts.select(*there).schema.add("parts", "integer")
+    return rows.sparkSession.createDataFrame([(*(r[k] for k in there), int(r.n / least) + 1) for r in found], schema)
+
+
 def _all(conditions) -> Column:
     out = F.lit(True)
     for condition in conditions:

@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from quillstrata.functions.text import or_empty, uuid_key
 from quillstrata.sources.tables import table
 
-#: Partitions over which each project or concept key is spread, as one of them may hold a third of the
-#: references; the one target row of a key is copied as often. Observation keys have few references each.
-REFERENCE_SALTS = {"projects": 8, "concepts": 8, "observations": 1}
-
-
 def _readings(spark: SparkSession, folder: str, choose: Callable, declares_order: bool = True) -> DataFrame:
     from quillstrata.functions.instants import ANY_ORDER, is_exact_date, is_exact_instant, read_date, read_instant
 
@@ -53,35 +48,36 @@ def p3_inferred(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Orphan references per table, field and month."""
+    """Orphan references per table, field and month.
+
+    The key is composite: the table that is referred to, and the uuid's key.
+    So all references meet all targets in one join, and each table is read
+    once for what it refers to and once for what it holds.
+    """
     from quillstrata.operators.references import orphan_references
 
-    observations = table(spark, folder, "observation_records")
-    links = table(spark, folder, "observation_concept_records")
-    tombstones = table(spark, folder, "tombstones")
-    holders = {
-        "projects": (table(spark, folder, "projects"), F.col("created_at")),
-        "concepts": (table(spark, folder, "concepts"), F.col("created_at")),
-        "observations": (observations, F.col("received_at")),
-    }
-    out = None
-    for tbl, refs, field, to in (
-        ("observation_records", observations, "project_uuid", "projects"),
-        ("observation_concept_records", links, "observation_uuid", "observations"),
-        ("observation_concept_records", links, "concept_uuid", "concepts"),
-    ):
-        targets, exists_from = holders[to]
-        found = orphan_references(
-            refs, "rec_no", [uuid_key(F.col(field))], F.col("received_at"),
-            targets, [uuid_key(F.col("uuid"))], exists_from,
-            tombstones.where(F.col("tbl") == to), [uuid_key(F.col("uuid"))],
-            match="simple", salts=REFERENCE_SALTS[to],
-        ).select(
-            F.lit(tbl).alias("tbl"), F.lit(field).alias("field"), F.col("row_id").alias("rec_no"),
-            "reason", or_empty(F.date_format("seen_at", "yyyy-MM")).alias("period"),
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+    observations, links = table(spark, folder, "observation_records"), table(spark, folder, "observation_concept_records")
+
+    def reference(tbl: str, field: str, to: str) -> Column:
+        return F.struct(F.lit(to).alias("to"), uuid_key(F.col(field)).alias("k"), F.struct(F.lit(tbl).alias("tbl"), F.lit(field).alias("field"), F.col("rec_no").alias("rec_no")).alias("ref"))
+
+    references = observations.select("received_at", reference("observation_records", "project_uuid", "projects").alias("r")).select("received_at", "r.*").unionByName(
+        links.select(
+            "received_at",
+            F.explode(F.array(reference("observation_concept_records", "observation_uuid", "observations"), reference("observation_concept_records", "concept_uuid", "concepts"))).alias("r"),
+        ).select("received_at", "r.*")
+    )
+    targets = None
+    for tbl, df, from_at in (("projects", table(spark, folder, "projects"), "created_at"), ("concepts", table(spark, folder, "concepts"), "created_at"), ("observations", observations, "received_at")):
+        part = df.select(F.lit(tbl).alias("tbl"), uuid_key(F.col("uuid")).alias("k"), F.col(from_at).alias("from_at"))
+        targets = part if targets is None else targets.unionByName(part)
+    found = orphan_references(
+        references, "ref", [F.col("to"), F.col("k")], F.col("received_at"),
+        targets, [F.col("tbl"), F.col("k")], F.col("from_at"),
+        table(spark, folder, "tombstones"), [F.col("tbl"), uuid_key(F.col("uuid"))],
+        match="simple",
+    )
+    return found.select("row_id.tbl", "row_id.field", "row_id.rec_no", "reason", or_empty(F.date_format("seen_at", "yyyy-MM")).alias("period"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
