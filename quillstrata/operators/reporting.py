@@ -13,7 +13,7 @@ SHOWN = 3
 # The lines of the reports.
 NO_PROJECTS = "  (no projects — use project add <name> to create one)\n"
 NO_OBSERVATIONS = "_No observations recorded._\n"
-TITLE = "# Knowledge Base\n"
+TITLE = "# Notes\n"
 
 
 def summary_rows(s: Snapshot, shown: int = SHOWN) -> DataFrame:

@@ -10,12 +10,15 @@ is broadcast, and the best rows are taken per partition before they meet.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillstrata.functions.text import fold_accents
+from quillstrata.functions.text import FOLD_FROM, FOLD_TO
 from quillstrata.sources.store import Snapshot
 
 # BM25's two numbers, the least weight of a phrase, the columns, and how many rows a search gives.
@@ -32,9 +35,20 @@ class BadQuery(ValueError):
     """A query text that does not parse."""
 
 
+#: Marks that are written onto the letter before; those of other scripts part words.
+MARKS = "[\u0300-\u036f]+"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case words without marks: runs of letters, digits and private-use signs."""
-    return F.regexp_extract_all(F.lower(fold_accents(text)), F.lit(WORD), F.lit(0))
+    """Lower-case words without marks: runs of letters, digits and private-use signs; of Latin letters the one without its mark."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(F.translate(text, FOLD_FROM, FOLD_TO), MARKS, "")), F.lit(WORD), F.lit(0))
+
+
+def python_tokens(text: str) -> list[str]:
+    """The words of a query's string, as ``tokens`` gives them."""
+    plain = re.sub(MARKS, "", text.translate(str.maketrans(FOLD_FROM, FOLD_TO))).lower()
+    kept = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in plain)
+    return kept.split()
 
 
 def documents(s: Snapshot) -> DataFrame:
@@ -85,30 +99,44 @@ class Phrase:
                 total = total + F.size(self.positions(column))
         return total
 
+    def near_count(self) -> Column:
+        """Occurrences that count for the score."""
+        return self.count()
+
 
 @dataclass(frozen=True)
-class Near:
-    phrases: tuple[Phrase, ...]
-    distance: int
+class NearPhrase(Phrase):
+    """A phrase of a NEAR group, of which only the occurrences in a near match count."""
+
+    group: tuple[Phrase, ...] = ()
+    distance: int = NEAR_DEFAULT
 
-    def matches(self) -> Column:
-        """All phrases in one column with at most ``distance`` words between the first's end and the last's begin, in any order."""
-        found = F.lit(False)
-        for column in self.phrases[0].columns:
-            # windows that begin at any phrase's place: all others must fit within
-            spans = [F.transform(p.positions(column), lambda i, n=len(p.words): F.struct(i.alias("a"), (i + n).alias("b"))) for p in self.phrases]
-            sizes = sum(len(p.words) for p in self.phrases)
-            for first in spans:
-                fits = F.exists(first, lambda s: _fits(s, [x for x in spans if x is not first], sizes, self.distance))
-                found = found | fits
-        return found
+    def near_count(self) -> Column:
+        """Occurrences x for which some word M of the group follows such that every phrase begins at most its length and ``distance`` words before M, and not after it."""
+        total = F.lit(0)
+        for column in self.columns:
+            spans = [(p.positions(column), len(p.words) + self.distance) for p in self.group]
+            total = total + F.size(F.filter(self.positions(column), _near(spans, len(self.words) + self.distance)))
+        return total
 
 
-def _fits(start: Column, others: list[Column], words: int, distance: int) -> Column:
-    ok = F.lit(True)
-    for other in others:
-        ok = ok & F.exists(other, lambda o: (o["a"] >= start["a"]) & (o["b"] - start["a"] <= words + distance))
-    return ok
+def _near(spans: list[tuple[Column, int]], reach: int) -> Callable[[Column], Column]:
+    """Whether an occurrence belongs to a near match of ``spans``: places of each phrase, and how far before M they may begin."""
+    words = F.concat(*(places for places, _ in spans))
+
+    def within(m: Column, most: int) -> Callable[[Column], Column]:
+        return lambda place: (place <= m) & (m - place <= most)
+
+    def complete(x: Column) -> Callable[[Column], Column]:
+        def check(m: Column) -> Column:
+            ok = (m >= x) & (m - x <= reach)
+            for places, most in spans:
+                ok = ok & F.exists(places, within(m, most))
+            return ok
+
+        return check
+
+    return lambda x: F.exists(words, complete(x))
 
 
 @dataclass(frozen=True)
@@ -300,20 +328,12 @@ class _Parser:
             self.at -= 1
             self.fail()
         since = len(self.phrases)
-        self.phrases += inner
-        out = Near(tuple(inner), distance).matches()
+        self.phrases += [NearPhrase(p.words, p.prefix, p.initial, p.columns, tuple(inner), distance) for p in inner]
+        out = F.col(f"tf{since}") > 0  # in a near match every phrase has an occurrence
         self.gate(since, out)
         return out
 
 
-def python_tokens(text: str) -> list[str]:
-    """The words of a query's string, as ``tokens`` gives them."""
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return re.findall(r"[^\W_]+", plain.lower())
-
-
 def parse(text: str) -> Query:
     """The query's condition over the counts tf0, tf1, … of its phrases."""
     parser = _Parser(text)
@@ -329,7 +349,9 @@ def search(s: Snapshot, text: str, limit: int = LIMIT, docs: DataFrame | None =
     """
     query = parse(text)
     held = indexed(documents(s)) if docs is None else docs
-    counted = held.select("body", "kind", "label", "descr", "source_type", "source_id", "project_id", "body_words", "kind_words", "dl", *(p.count().alias(f"tf{i}") for i, p in enumerate(query.phrases)))
+    stored = ("body", "kind", "label", "descr", "source_type", "source_id", "project_id")
+    counted = held.select(*stored, "dl", *(p.near_count().alias(f"tf{i}") for i, p in enumerate(query.phrases)))
+    # in how many documents a phrase occurs does not depend on what else is asked for
     stats = held.select("dl", *(p.count().alias(f"tf{i}") for i, p in enumerate(query.phrases))).agg(
         F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(len(query.phrases)))
     )
@@ -341,15 +363,12 @@ def search(s: Snapshot, text: str, limit: int = LIMIT, docs: DataFrame | None =
         idf = F.log((F.col("n") - n + 0.5) / (n + 0.5))
         idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
         score = score - F.when(counts, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))).otherwise(0.0)
-    hits = counted.where(query.match).crossJoin(F.broadcast(stats)).select("body", "kind", "label", "descr", "source_type", "source_id", "project_id", F.round(score, 6).alias("score"))
-    best = hits.orderBy("score", "source_type", "source_id").limit(limit)
+    place = ("exact", "source_type", "source_id")
+    best = counted.where(query.match).crossJoin(F.broadcast(stats)).select(*stored, score.alias("exact")).orderBy(*place).limit(limit)
     names = s.projects.select(F.col("id").alias("pid"), F.col("name").alias("project"))
-    of_project = (F.col("source_type") == "observation") & (F.col("project_id") == F.col("pid"))
-    from pyspark.sql import Window
-
     observed = F.col("source_type") == "observation"
-    return best.join(names, of_project, "left").select(
-        F.row_number().over(Window.orderBy("score", "source_type", "source_id")).alias("nth"), "kind",
+    return best.join(names, observed & (F.col("project_id") == F.col("pid")), "left").select(
+        F.row_number().over(Window.orderBy(*place)).alias("nth"), "kind",
         F.when(observed, F.coalesce("project", F.lit(""))).otherwise(F.col("label")).alias("label"),
-        F.when(observed, F.col("body")).otherwise(F.col("descr")).alias("snippet"), "source_type", "source_id", "score",
+        F.when(observed, F.col("body")).otherwise(F.col("descr")).alias("snippet"), "source_type", "source_id", F.round("exact", 6).alias("score"),
     )

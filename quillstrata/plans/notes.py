@@ -122,18 +122,24 @@ def _tf(words: str, prefix: bool = False, columns: str = "bk") -> str:
     return "(" + " + ".join(sums) + ")"
 
 
-def _search_sql(counts: list[str], condition: str, scored: int | None = None) -> str:
-    tf = ", ".join(f"{c} AS tf{i}" for i, c in enumerate(counts))
-    n = ", ".join(f"count(*) FILTER (tf{i} > 0) AS n{i}" for i in range(len(counts)))
+def _search_sql(counts: list[str], condition: str, scored: int | None = None, plain: list[str] | None = None) -> str:
+    tf = ", ".join(f"{c} AS tf{i}" for i, c in enumerate(counts)) + "".join(f", {c} AS in{i}" for i, c in enumerate(plain or []))
+    n = ", ".join(f"count(*) FILTER ({'in' if plain else 'tf'}{i} > 0) AS n{i}" for i in range(len(counts)))
     idf = [f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 0.000001 END" for i in range(len(counts))]
     score = " + ".join(f"({w}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i, w in list(enumerate(idf))[:scored])
     return f"""{_DOCS}, tf AS (SELECT *, CAST(len(bw) + len(kw) AS DOUBLE) AS dl, {tf} FROM ix), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS mean, {n} FROM tf),
-    hits AS (SELECT tf.*, round(-({score}), 6) AS score FROM tf, st WHERE {condition}),
+    hits AS (SELECT tf.*, -({score}) AS score FROM tf, st WHERE {condition}),
     best AS (SELECT *, row_number() OVER (ORDER BY score, source_type, source_id) AS nth FROM hits)
-    SELECT nth, kind, CASE WHEN source_type = 'observation' THEN coalesce(p.name, '') ELSE label END AS label, CASE WHEN source_type = 'observation' THEN body ELSE descr END AS snippet, source_type, source_id, score
+    SELECT nth, kind, CASE WHEN source_type = 'observation' THEN coalesce(p.name, '') ELSE label END AS label, CASE WHEN source_type = 'observation' THEN body ELSE descr END AS snippet, source_type, source_id, round(score, 6) AS score
     FROM best b LEFT JOIN (SELECT id, name FROM p) p ON source_type = 'observation' AND p.id = b.project_id WHERE nth <= 50"""
 
 
+def _near(word: str, other: str) -> str:
+    """Occurrences of a word that some word of the group, itself included, follows within 5 places, with the other one at most 5 places before that."""
+    follows = f"list_filter(range(i, least(i + 5, len(bw)) + 1), lambda m: bw[m] IN ('{word}', '{other}') AND list_contains(bw[greatest(m - 5, 1):m], '{other}'))"
+    return f"len(list_filter(range(1, len(bw) + 1), lambda i: bw[i] = '{word}' AND len({follows}) > 0))"
+
+
 for _name, _text, _counts, _condition in (
     ("search_and", "glacier storm", [_tf("glacier"), _tf("storm")], "tf0 > 0 AND tf1 > 0"),
     ("search_or", "glacier OR gletschermodell", [_tf("glacier"), _tf("gletschermodell")], "tf0 > 0 OR tf1 > 0"),
@@ -142,13 +148,11 @@ for _name, _text, _counts, _condition in (
     ("search_phrase", '"pollen sample" OR ice + record', [_tf("pollen sample"), _tf("ice record")], "tf0 > 0 OR tf1 > 0"),
     ("search_column", "kind:finding AND body:(tide OR moisture)", [_tf("finding", columns="k"), _tf("tide", columns="b"), _tf("moisture", columns="b")], "tf0 > 0 AND (tf1 > 0 OR tf2 > 0)"),
     ("search_kind_token", "project lichen", [_tf("project"), _tf("lichen")], "tf0 > 0 AND tf1 > 0"),
-    (
-        "search_near", "NEAR(glacier storm, 4)", [_tf("glacier"), _tf("storm")],
-        "len(list_filter(range(1, len(bw) + 1), lambda i: bw[i] = 'glacier' AND (list_contains(bw[greatest(i - 5, 1):i + 5], 'storm')))) > 0",
-    ),
+    ("search_near", "NEAR(glacier storm, 4)", [_near("glacier", "storm"), _near("storm", "glacier")], "tf0 > 0"),
+    ("search_unicode", "präparat* OR déplacé OR ÎNCĂ OR 한국", [_tf("praparat", True), _tf("deplace"), _tf("inca"), _tf("한국")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0 OR tf3 > 0"),
     ("search_initial", "^tidal survey", [f"CAST(coalesce(bw[1] = 'tidal', false) AS INT) + CAST(coalesce(kw[1] = 'tidal', false) AS INT)", _tf("survey")], "tf0 > 0 AND tf1 > 0"),
 ):
-    _add(_name, lambda s, t=_text: search.search(s, t), _search_sql(_counts, _condition, 1 if _name == "search_not" else None))
+    _add(_name, lambda s, t=_text: search.search(s, t), _search_sql(_counts, _condition, 1 if _name == "search_not" else None, [_tf("glacier"), _tf("storm")] if _name == "search_near" else None))
 
 # --- batch writes: the second store's rows come in as a batch
 _BATCH_P = "seq, name, description, status, uuid, origin_host"
