@@ -4,7 +4,8 @@
 as each side keeps its keys itself, the first and what of the second has no
 partner in it on any key: a union with chained anti joins. Children follow
 their parents by uuid; a parent that lost takes its children with it, which
-``reconcile`` prevents.
+``reconcile`` prevents. Merged parents are written once, as every child table
+meets them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.operators.writing import _first, _numbered
+from quillstrata.session import materialise
 from quillstrata.sources.store import SCHEMAS, Snapshot, completed
 
 
@@ -43,19 +45,24 @@ def reconcile(b: Snapshot, found: DataFrame) -> Snapshot:
     return b.with_tables(**tables)
 
 
+def _complete(df: DataFrame, table: str) -> DataFrame:
+    """Without the rows in which a text is null: what must not be null is not taken, from either side."""
+    for field in SCHEMAS[table]:
+        if field.dataType.typeName() == "string":
+            df = df.where(F.col(field.name).isNotNull())
+    return df
+
+
 def _united(a: DataFrame, b: DataFrame, table: str, keys: list[list[str]]) -> DataFrame:
     """The first, and of the second what meets it on no key; ids run on from the first's."""
-    rest = b
+    a, rest = _complete(a, table), _complete(b, table)
     for key in keys:
         held = a.select(*key)
         if key == ["identifier_type", "identifier_value"]:
             held = held.where("identifier_type <> '' AND identifier_value <> ''")
         rest = rest.join(held, key, "left_anti")
-    for field in SCHEMAS[table]:  # what must not be null is not taken
-        if field.dataType.typeName() == "string":
-            rest = rest.where(F.col(field.name).isNotNull())
     new = _numbered(rest.withColumnRenamed("id", "seq"), a)
-    return completed(a, table).unionByName(completed(new, table))
+    return materialise(completed(a, table).unionByName(completed(new, table)), table)
 
 
 def _by_uuid(old: DataFrame, new: DataFrame, field: str) -> DataFrame:

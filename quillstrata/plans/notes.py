@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.operators import merging, migrating, reading, reporting, retracting, search, writing
+from quillstrata.session import materialise
 from quillstrata.sources import exchange
 from quillstrata.sources.adapter import store_of, store_sql
-from quillstrata.sources.store import SCHEMAS, Snapshot, broken_references, repeated_keys
+from quillstrata.sources.store import SCHEMAS, UNIQUE, Snapshot, broken_references, completed, repeated_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,13 +76,43 @@ _add("project_summary", reading.project_summary, _SUMMARY)
 _add("table_counts", reading.table_counts, " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {a}" for t, a in zip(SCHEMAS, ("p", "o", "c", "s", "oc", "pc", "os"))))
 _add("source_link_counts", reading.source_link_counts, "SELECT s.id AS source_id, count(os.source_id) AS links FROM s LEFT JOIN os ON os.source_id = s.id GROUP BY 1")
 _add("removable_sources", reading.removable_sources, "SELECT id, title FROM s WHERE id NOT IN (SELECT source_id FROM os)")
-_add("broken_references", broken_references, "SELECT 'observations' AS tbl, 'project_id' AS field, project_id AS value FROM o WHERE project_id NOT IN (SELECT id FROM p)")
+
+
+def _thinned(s: Snapshot) -> Snapshot:
+    """The store without every third row of what links refer to, as after a careless removal."""
+    return s.with_tables(**{t: getattr(s, t).where("id % 3 <> 0") for t in ("projects", "observations", "concepts", "sources")})
+
+
+_LINKS = (
+    ("observations", "(SELECT * FROM o WHERE id % 3 <> 0)", "project_id", "p"),
+    ("observation_concepts", "oc", "observation_id", "o"), ("observation_concepts", "oc", "concept_id", "c"),
+    ("project_concepts", "pc", "project_id", "p"), ("project_concepts", "pc", "concept_id", "c"),
+    ("observation_sources", "os", "observation_id", "o"), ("observation_sources", "os", "source_id", "s"),
+)
 _add(
-    "repeated_keys", repeated_keys,
-    "SELECT 'projects' AS tbl, 'uuid' AS key, uuid AS value, count(*) AS n FROM p GROUP BY 3 HAVING count(*) > 1 UNION ALL SELECT 'concepts', 'uuid', uuid, count(*) FROM c GROUP BY 3 HAVING count(*) > 1 "
-    "UNION ALL SELECT 'sources', 'identifier_type,identifier_value', identifier_type || '|' || identifier_value, count(*) FROM s WHERE identifier_type <> '' AND identifier_value <> '' GROUP BY 3 HAVING count(*) > 1",
+    "broken_references", lambda s: broken_references(_thinned(s)),
+    " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{f}' AS field, {f} AS value FROM {links} x WHERE {f} IS NOT NULL AND {f} NOT IN (SELECT id FROM {to} WHERE id % 3 <> 0)" for t, links, f, to in _LINKS),
 )
 
+
+def _together(a: Snapshot, b: Snapshot) -> Snapshot:
+    """The rows of both stores side by side, as a careless copy would have them."""
+    return Snapshot(**{t: getattr(a, t).unionByName(getattr(b, t)) for t in SCHEMAS})
+
+
+def _repeated_sql() -> str:
+    parts = []
+    for t, x in zip(SCHEMAS, ("p", "o", "c", "s", "oc", "pc", "os")):
+        for key in UNIQUE[t]:
+            columns = ", ".join(key)
+            whole = "WHERE identifier_type <> '' AND identifier_value <> ''" if "identifier_type" in key else ""
+            value = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in key)
+            parts.append(f"SELECT '{t}' AS tbl, '{','.join(key)}' AS key, {value} AS value, count(*) AS n FROM (SELECT {columns} FROM {x} UNION ALL SELECT {columns} FROM {x}2) {whole} GROUP BY {columns} HAVING count(*) > 1")
+    return " UNION ALL ".join(parts)
+
+
+_add2("repeated_keys", lambda a, b: repeated_keys(_together(a, b)), _repeated_sql())
+
 # --- reports
 _TOP = "SELECT project_id, kind, body, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS nth FROM o WHERE project_id IS NOT NULL"
 _add("summary_top3", reporting.summary_rows, f", v AS ({_SUMMARY}), t AS ({_TOP}) SELECT v.id, v.name, v.status, v.description, v.concepts, t.nth, t.kind, t.body FROM v LEFT JOIN t ON t.project_id = v.id AND t.nth <= 3")
@@ -149,7 +180,7 @@ for _name, _text, _counts, _condition in (
     ("search_column", "kind:finding AND body:(tide OR moisture)", [_tf("finding", columns="k"), _tf("tide", columns="b"), _tf("moisture", columns="b")], "tf0 > 0 AND (tf1 > 0 OR tf2 > 0)"),
     ("search_kind_token", "project lichen", [_tf("project"), _tf("lichen")], "tf0 > 0 AND tf1 > 0"),
     ("search_near", "NEAR(glacier storm, 4)", [_near("glacier", "storm"), _near("storm", "glacier")], "tf0 > 0"),
-    ("search_unicode", "präparat* OR déplacé OR ÎNCĂ OR 한국", [_tf("praparat", True), _tf("deplace"), _tf("inca"), _tf("한국")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0 OR tf3 > 0"),
+    ("search_unicode", "relevé OR ZUVERLÄSSIG OR marégraph* OR 한국", [_tf("releve"), _tf("zuverlassig"), _tf("maregraph", True), _tf("한국")], "tf0 > 0 OR tf1 > 0 OR tf2 > 0 OR tf3 > 0"),
     ("search_initial", "^tidal survey", [f"CAST(coalesce(bw[1] = 'tidal', false) AS INT) + CAST(coalesce(kw[1] = 'tidal', false) AS INT)", _tf("survey")], "tf0 > 0 AND tf1 > 0"),
 ):
     _add(_name, lambda s, t=_text: search.search(s, t), _search_sql(_counts, _condition, 1 if _name == "search_not" else None, [_tf("glacier"), _tf("storm")] if _name == "search_near" else None))
@@ -186,9 +217,13 @@ _add2(
     UNION ALL SELECT {_grown('c', 'id', 'id')}, name, description, {NOW}, identifier_type, identifier_value, uuid, origin_host FROM c2 WHERE name NOT IN (SELECT name FROM c)""",
 )
 _S_NEW = ", ".join(n for n in SCHEMAS["sources"].names if n not in ("id", "retracted", "retraction_note", "first_seen_at", "last_checked_at", "uuid", "origin_host"))
-_add(
-    "upsert_sources", lambda s: writing.upsert_sources(s, _batch(s.sources), _now()).sources,
-    f"""SELECT * FROM s UNION ALL SELECT {_grown('s', 'id', 'id')}, {_S_NEW}, false, '', {NOW}, {NOW}, uuid, origin_host FROM s WHERE identifier_type = '' OR identifier_value = ''""",
+_PAIR = "identifier_type <> '' AND identifier_value <> ''"
+_add2(
+    "upsert_sources", lambda a, b: writing.upsert_sources(a, _batch(b.sources), _now()).sources,
+    f"""SELECT * FROM s UNION ALL SELECT {_grown('s', 'id', 'id')}, {_S_NEW}, false, '', {NOW}, {NOW}, uuid, origin_host FROM (
+      SELECT * FROM s2 WHERE NOT ({_PAIR}) UNION ALL
+      SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY identifier_type, identifier_value ORDER BY id) AS nth FROM s2 WHERE {_PAIR})
+      WHERE nth = 1 AND (identifier_type, identifier_value) NOT IN (SELECT (identifier_type, identifier_value) FROM s))""",
 )
 _add("retract_sources", lambda s: writing.retract_sources(s, s.sources.where("version = ''").select(F.col("id").alias("seq"), "id", F.concat(F.lit("no version: "), "title").alias("note"))).sources.select("id", "retracted", "retraction_note"), "SELECT id, retracted OR version = '' AS retracted, CASE WHEN version = '' THEN 'no version: ' || title ELSE retraction_note END AS retraction_note FROM s")
 _add2("link_observation_concepts", lambda a, b: writing.link(a, "observation_concepts", b.observation_concepts.join(a.observations.select(F.col("id").alias("observation_id")), "observation_id", "left_semi").join(a.concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").withColumn("seq", F.col("concept_id"))).observation_concepts, "SELECT * FROM oc UNION SELECT * FROM oc2 WHERE observation_id IN (SELECT id FROM o) AND concept_id IN (SELECT id FROM c)")
@@ -200,7 +235,21 @@ _add(
 
 # --- two stores
 _add2("collision_report", merging.collisions, "SELECT 'projects' AS tbl, p.name, p.uuid AS uuid_a, p2.uuid AS uuid_b FROM p JOIN p2 ON p.name = p2.name AND p.uuid <> p2.uuid UNION ALL SELECT 'concepts', c.name, c.uuid, c2.uuid FROM c JOIN c2 ON c.name = c2.name AND c.uuid <> c2.uuid")
-_add2("reconcile_collisions", lambda a, b: merging.reconcile(b, merging.collisions(a, b)).projects.select("id", "name", "uuid"), "SELECT p2.id, p2.name, coalesce(p.uuid, p2.uuid) AS uuid FROM p2 LEFT JOIN p ON p.name = p2.name")
+
+
+def _reconciled(a: Snapshot, b: Snapshot) -> DataFrame:
+    b = merging.reconcile(b, merging.collisions(a, b))
+    return _with_table("projects", b.projects.select("id", "name", "uuid")).unionByName(_with_table("concepts", b.concepts.select("id", "name", "uuid")))
+
+
+def _with_table(name: str, df: DataFrame) -> DataFrame:
+    return df.select(F.lit(name).alias("tbl"), *df.columns)
+
+
+_add2(
+    "reconcile_collisions", _reconciled,
+    "SELECT 'projects' AS tbl, p2.id, p2.name, coalesce(p.uuid, p2.uuid) AS uuid FROM p2 LEFT JOIN p ON p.name = p2.name UNION ALL SELECT 'concepts', c2.id, c2.name, coalesce(c.uuid, c2.uuid) FROM c2 LEFT JOIN c ON c.name = c2.name",
+)
 
 
 def _united_sql(table: str, a: str, b: str) -> str:
@@ -293,7 +342,7 @@ _add("export_counts", lambda s: exchange.export_lines(s).groupBy("section").agg(
 def _compared(lines: DataFrame) -> DataFrame:
     """Lines by their parsed fields, as the writing of JSON is not what is compared."""
     names = sorted({n for ns in exchange.RECORDS.values() for n in ns})
-    parsed = exchange.parsed_lines(lines.select(F.lit(1).cast("long").alias("line_no"), "line"))
+    parsed = exchange.parsed_lines(lines.select(F.lit(1).cast("long").alias("line_no"), "line"), check=False)
     return parsed.select("type", *(F.try_element_at("record", F.lit(n)).alias(n) for n in names))
 
 
@@ -324,14 +373,11 @@ _EXTRA = ('{"type":"mystery","uuid":"x"}', '  ', '{"type":"observation_concept",
 
 
 def _incoming(b: Snapshot) -> DataFrame:
-    """The export with its lines numbered, each twice, and some that lead nowhere."""
-    lines = exchange.export_lines(b).select(F.xxhash64("section", "line").alias("h"), "section", "line")
-    from pyspark.sql import Window
-
-    numbered = lines.withColumn("line_no", (F.col("section").cast("long") * 1_000_000_000 + F.row_number().over(Window.partitionBy("section").orderBy("line"))).cast("long"))
+    """The export, its lines numbered in their order, each twice, and before them some that lead nowhere."""
+    ordered = exchange.export_lines(b).orderBy("section", "place").select((F.monotonically_increasing_id() + 10).alias("line_no"), "line")
+    once = materialise(ordered, "export")
     extra = b.projects.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(_EXTRA)], "line_no long, line string")
-    once = numbered.select("line_no", "line")
-    return once.unionByName(once.withColumn("line_no", F.col("line_no") + 500_000_000)).unionByName(extra)
+    return once.unionByName(once.withColumn("line_no", F.col("line_no") + (1 << 60))).unionByName(extra)
 
 
 def _imported(table: str) -> Callable[[Snapshot, Snapshot], DataFrame]:
@@ -349,14 +395,66 @@ def _imported(table: str) -> Callable[[Snapshot, Snapshot], DataFrame]:
 _add2("import_parse", lambda a, b: exchange.parsed_lines(_incoming(b)).groupBy("type").agg(F.count("*").alias("n")), " UNION ALL ".join(f"SELECT '{k}' AS type, 2 * count(*) + {1 if k == 'observation_concept' else 0} AS n FROM ({sql.replace('FROM p', 'FROM p2').replace('FROM c', 'FROM c2').replace('FROM s', 'FROM s2').replace('FROM oc', 'FROM oc2').replace('FROM c22', 'FROM c2')})" for k, sql in {"project": "SELECT * FROM p", "concept": "SELECT * FROM c", "source": "SELECT * FROM s"}.items()) + " UNION ALL SELECT 'observation', 2 * count(*) FROM o2 WHERE project_id IS NOT NULL UNION ALL SELECT 'observation_concept', 2 * count(*) + 1 FROM oc2 UNION ALL SELECT 'project_concept', 2 * count(*) FROM pc2 UNION ALL SELECT 'observation_source', 2 * count(*) FROM os2 UNION ALL SELECT 'mystery', 1")
 _add2("import_projects", _imported("projects"), "SELECT name, description, status, uuid, origin_host FROM p UNION ALL SELECT name, description, status, uuid, origin_host FROM p2 WHERE name NOT IN (SELECT name FROM p)")
 _add2("import_concepts", _imported("concepts"), "SELECT name, description, identifier_type, identifier_value, uuid, origin_host FROM c UNION ALL SELECT name, description, identifier_type, identifier_value, uuid, origin_host FROM c2 WHERE name NOT IN (SELECT name FROM c)")
-_add2("import_sources", _imported("sources"), "SELECT title, identifier_type, identifier_value, authors, uuid, origin_host FROM s")
-_GROWN_P = "SELECT min(id) AS id, name, any_value(uuid) AS uuid FROM (SELECT id, name, uuid FROM p) GROUP BY name UNION ALL SELECT (SELECT max(id) FROM p) + row_number() OVER (ORDER BY nth) AS id, name, uuid FROM (SELECT *, row_number() OVER (ORDER BY created_at, id) AS nth FROM p2) WHERE name NOT IN (SELECT name FROM p)"
+_FROM_FILE = f""", gp AS (SELECT id, name, uuid FROM p UNION ALL
+  SELECT (SELECT max(id) FROM p) + row_number() OVER (ORDER BY created_at NULLS FIRST, id), name, uuid FROM p2 WHERE name NOT IN (SELECT name FROM p)),
+gc AS (SELECT id, name, uuid FROM c UNION ALL SELECT (SELECT max(id) FROM c) + row_number() OVER (ORDER BY name), name, uuid FROM c2 WHERE name NOT IN (SELECT name FROM c)),
+s_fresh AS (SELECT * FROM s2 WHERE NOT ({_PAIR} AND (identifier_type, identifier_value) IN (SELECT (identifier_type, identifier_value) FROM s)) AND uuid NOT IN (SELECT uuid FROM s WHERE uuid <> '')),
+s_pair AS (SELECT *, row_number() OVER (PARTITION BY identifier_type, identifier_value ORDER BY id) AS a FROM s_fresh),
+s_once AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY id) AS b FROM s_pair WHERE a = 1 OR NOT ({_PAIR})),
+s_new AS (SELECT * FROM s_once WHERE b = 1 OR uuid = ''),
+gs AS (SELECT id, identifier_type, identifier_value, uuid FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY id), identifier_type, identifier_value, uuid FROM s_new),
+fp AS (SELECT p2.uuid, max(gp.id) AS id FROM p2 JOIN gp ON gp.name = p2.name WHERE p2.uuid <> '' GROUP BY 1),
+fc AS (SELECT c2.uuid, max(gc.id) AS id FROM c2 JOIN gc ON gc.name = c2.name WHERE c2.uuid <> '' GROUP BY 1),
+pair AS (SELECT identifier_type, identifier_value, min(id) AS id FROM gs WHERE {_PAIR} GROUP BY 1, 2),
+same AS (SELECT uuid, min(id) AS id FROM gs WHERE uuid <> '' GROUP BY 1),
+fs AS (SELECT s2.uuid, max(coalesce(pair.id, same.id)) AS id FROM s2 LEFT JOIN pair ON pair.identifier_type = s2.identifier_type AND pair.identifier_value = s2.identifier_value
+  LEFT JOIN same ON same.uuid = s2.uuid WHERE s2.uuid <> '' GROUP BY 1 HAVING max(coalesce(pair.id, same.id)) IS NOT NULL),
+rp AS (SELECT uuid, id FROM fp UNION ALL SELECT uuid, min(id) FROM gp WHERE uuid <> '' AND uuid NOT IN (SELECT uuid FROM fp) GROUP BY 1),
+rc AS (SELECT uuid, id FROM fc UNION ALL SELECT uuid, min(id) FROM gc WHERE uuid <> '' AND uuid NOT IN (SELECT uuid FROM fc) GROUP BY 1),
+rs AS (SELECT uuid, id FROM fs UNION ALL SELECT uuid, id FROM same WHERE uuid NOT IN (SELECT uuid FROM fs)),
+o_new AS (SELECT o2.* REPLACE (rp.id AS project_id) FROM o2 JOIN p2 ON p2.id = o2.project_id JOIN rp ON rp.uuid = p2.uuid WHERE o2.uuid NOT IN (SELECT uuid FROM o)),
+go AS (SELECT id, uuid FROM o UNION ALL SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY created_at NULLS FIRST, id), uuid FROM o_new),
+oc_new AS (SELECT DISTINCT go.id AS observation_id, rc.id AS concept_id FROM oc2 JOIN o2 ON o2.id = oc2.observation_id JOIN c2 ON c2.id = oc2.concept_id JOIN go ON go.uuid = o2.uuid JOIN rc ON rc.uuid = c2.uuid EXCEPT SELECT * FROM oc),
+pc_new AS (SELECT DISTINCT rp.id AS project_id, rc.id AS concept_id FROM pc2 JOIN p2 ON p2.id = pc2.project_id JOIN c2 ON c2.id = pc2.concept_id JOIN rp ON rp.uuid = p2.uuid JOIN rc ON rc.uuid = c2.uuid EXCEPT SELECT * FROM pc),
+os_new AS (SELECT go.id AS observation_id, rs.id AS source_id, arg_min(os2.relationship, (o2.uuid, s2.uuid)) AS relationship FROM os2 JOIN o2 ON o2.id = os2.observation_id JOIN s2 ON s2.id = os2.source_id
+  JOIN go ON go.uuid = o2.uuid JOIN rs ON rs.uuid = s2.uuid WHERE (go.id, rs.id) NOT IN (SELECT (observation_id, source_id) FROM os) GROUP BY 1, 2)
+"""
+_S_NAMES = "title, identifier_type, identifier_value, authors, uuid, origin_host"
+_add2("import_sources", _imported("sources"), f"{_FROM_FILE} SELECT {_S_NAMES} FROM s UNION ALL SELECT {_S_NAMES} FROM s_new")
+_O_NAMES = "project_id, kind, body, source_doi, uuid, origin_host"
+_add2("import_observations", _imported("observations"), f"{_FROM_FILE} SELECT {_O_NAMES} FROM o UNION ALL SELECT {_O_NAMES} FROM o_new")
+
+
+def _all_links(s: Snapshot) -> DataFrame:
+    parts = [
+        df.select(F.lit(t).alias("tbl"), F.col(a).alias("a"), F.col(b).alias("b"), relationship.alias("relationship"))
+        for t, df, a, b, relationship in (
+            ("observation_concepts", s.observation_concepts, "observation_id", "concept_id", F.lit("")),
+            ("project_concepts", s.project_concepts, "project_id", "concept_id", F.lit("")),
+            ("observation_sources", s.observation_sources, "observation_id", "source_id", F.col("relationship")),
+        )
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _add2(
-    "import_observations", lambda a, b: _imported("observations")(a, b).drop("project_id"),
-    "SELECT kind, body, source_doi, uuid, origin_host FROM o UNION ALL SELECT kind, body, source_doi, uuid, origin_host FROM o2 WHERE project_id IS NOT NULL AND uuid NOT IN (SELECT uuid FROM o)",
+    "import_links", lambda a, b: _all_links(exchange.import_lines(a, _incoming(b), _now())[0]),
+    f"""{_FROM_FILE} SELECT 'observation_concepts' AS tbl, observation_id AS a, concept_id AS b, '' AS relationship FROM (SELECT * FROM oc UNION ALL SELECT * FROM oc_new)
+    UNION ALL SELECT 'project_concepts', project_id, concept_id, '' FROM (SELECT * FROM pc UNION ALL SELECT * FROM pc_new)
+    UNION ALL SELECT 'observation_sources', observation_id, source_id, relationship FROM (SELECT * FROM os UNION ALL SELECT * FROM os_new)""",
+)
+# the lines before the export are a mystery and an observation_concept; the sections follow in their order
+_READ = (
+    ("mystery", 1, "0", "0", 1), ("observation_concept", 2, "(SELECT count(*) FROM oc2)", "(SELECT count(*) FROM oc_new)", 1), ("project", 3, "(SELECT count(*) FROM p2)", "(SELECT count(*) FROM p2 WHERE name NOT IN (SELECT name FROM p))", 0),
+    ("concept", 4, "(SELECT count(*) FROM c2)", "(SELECT count(*) FROM c2 WHERE name NOT IN (SELECT name FROM c))", 0), ("source", 5, "(SELECT count(*) FROM s2)", "(SELECT count(*) FROM s_new)", 0),
+    ("observation", 6, "(SELECT count(*) FROM o2 WHERE project_id IS NOT NULL)", "(SELECT count(*) FROM o_new)", 0), ("project_concept", 7, "(SELECT count(*) FROM pc2)", "(SELECT count(*) FROM pc_new)", 0),
+    ("observation_source", 8, "(SELECT count(*) FROM os2)", "(SELECT count(*) FROM os_new)", 0),
+)
+_add2(
+    "import_summary", lambda a, b: exchange.import_lines(a, _incoming(b), _now())[1],
+    f"{_FROM_FILE}, counted AS (" + " UNION ALL ".join(f"SELECT '{t}' AS type, {at} AS first, 2 * {n} + {extra} AS read, {new} AS imported" for t, at, n, new, extra in _READ)
+    + ") SELECT row_number() OVER (ORDER BY first) AS nth, type, read, imported, CASE WHEN type = 'mystery' THEN 0 ELSE read - imported END AS skipped FROM counted WHERE read > 0",
 )
-_add2("import_links", lambda a, b: exchange.import_lines(a, _incoming(b), _now())[0].observation_sources, "SELECT * FROM os UNION SELECT o.id AS observation_id, os2.source_id, os2.relationship FROM os2 JOIN o2 ON o2.id = os2.observation_id JOIN o ON o.uuid = o2.uuid WHERE NOT EXISTS (SELECT 1 FROM os WHERE os.observation_id = o.id AND os.source_id = os2.source_id)")
-_add2("import_summary", lambda a, b: exchange.import_lines(a, _incoming(b), _now())[1], None)
 
 # --- migrations
 _add("schema_complete", lambda s: _completed(s.concepts.drop("identifier_type", "identifier_value", "uuid", "origin_host")), "SELECT id, name, description, created_at, '' AS identifier_type, '' AS identifier_value, '' AS uuid, '' AS origin_host FROM c")
@@ -371,29 +469,72 @@ _add(
     f"""SELECT * FROM os UNION ALL SELECT o.id, x.id, 'cited' FROM o JOIN (SELECT id, identifier_value FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY seq), source_doi FROM ({_DOI})) x
     ON x.identifier_value = o.source_doi WHERE o.source_doi <> '' AND NOT EXISTS (SELECT 1 FROM os WHERE os.observation_id = o.id AND os.source_id = x.id)""",
 )
-_add("uuid_backfill", lambda s: migrating.backfill_uuids(s.projects, F.md5("name")).select("id", "uuid", "origin_host"), "SELECT id, CASE WHEN uuid = '' THEN md5(name) ELSE uuid END AS uuid, CASE WHEN uuid = '' THEN 'unknown' ELSE origin_host END AS origin_host FROM p")
+_BACKFILLED = (("projects", "p", "name"), ("observations", "o", "body"), ("concepts", "c", "name"), ("sources", "s", "title"))
+
+
+def _backfilled(s: Snapshot) -> DataFrame:
+    """All four tables; of observations and sources, which all have a uuid here, every fifth one loses it first."""
+    out = None
+    for name, _, text in _BACKFILLED:
+        df = getattr(s, name)
+        if name in ("observations", "sources"):
+            df = df.withColumn("uuid", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("uuid")))
+        part = _with_table(name, migrating.backfill_uuids(df, F.md5(text)).select("id", "uuid", "origin_host"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _backfilled_sql() -> str:
+    parts = []
+    for name, x, text in _BACKFILLED:
+        empty = "(uuid = '' OR id % 5 = 0)" if name in ("observations", "sources") else "uuid = ''"
+        parts.append(f"SELECT '{name}' AS tbl, id, CASE WHEN {empty} THEN md5({text}) ELSE uuid END AS uuid, CASE WHEN {empty} THEN 'unknown' ELSE origin_host END AS origin_host FROM {x}")
+    return " UNION ALL ".join(parts)
+
+
+_add("uuid_backfill", _backfilled, _backfilled_sql())
+
+
+def _legacy(a: Snapshot, b: Snapshot) -> Snapshot:
+    """The second store's projects as legacy experiments; every other observation of the first store that has no project belongs to one."""
+    experiments = b.projects.select("id", "name", F.col("description").alias("language"), F.col("origin_host").alias("repo_url"))
+    links = b.project_concepts.join(a.concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").withColumnRenamed("project_id", "experiment_id")
+    last = b.projects.agg(F.max("id").alias("last"))
+    observations = a.observations.crossJoin(F.broadcast(last)).withColumn("experiment_id", F.when(F.col("id") % 2 == 0, 1 + F.pmod("id", "last"))).drop("last")
+    return migrating.adopt_legacy(a.with_tables(observations=observations), experiments, links, _now(), F.md5("name"))
+
+
+_ADOPTED = """, g AS (SELECT id, name, description, status, uuid FROM p UNION ALL
+  SELECT (SELECT max(id) FROM p) + row_number() OVER (ORDER BY id), name, concat_ws(' — ', nullif(description, ''), nullif(origin_host, '')), 'active', md5(name) FROM p2 WHERE name NOT IN (SELECT name FROM p)),
+e AS (SELECT p2.id AS experiment_id, g.id AS project_id FROM p2 JOIN g ON g.name = p2.name)"""
+_add2("legacy_migration", lambda a, b: _legacy(a, b).projects.select("id", "name", "description", "status", "uuid"), f"{_ADOPTED} SELECT * FROM g")
 _add2(
-    "legacy_migration",
-    lambda a, b: migrating.adopt_legacy(a, b.projects.select("id", "name", F.col("description").alias("language"), F.col("origin_host").alias("repo_url")), b.project_concepts.join(a.concepts.select(F.col("id").alias("concept_id")), "concept_id", "left_semi").withColumnRenamed("project_id", "experiment_id"), _now(), F.md5("name")).projects.select("id", "name", "description", "status", "uuid"),
-    "SELECT id, name, description, status, uuid FROM p UNION ALL SELECT (SELECT max(id) FROM p) + row_number() OVER (ORDER BY id), name, concat_ws(' — ', nullif(description, ''), nullif(origin_host, '')), 'active', md5(name) FROM p2 WHERE name NOT IN (SELECT name FROM p)",
+    "legacy_observations", lambda a, b: _legacy(a, b).observations.select("id", "project_id"),
+    f"{_ADOPTED} SELECT o.id, coalesce(o.project_id, e.project_id) AS project_id FROM o LEFT JOIN e ON o.id % 2 = 0 AND e.experiment_id = 1 + o.id % (SELECT max(id) FROM p2)",
+)
+_add2(
+    "legacy_links", lambda a, b: _legacy(a, b).project_concepts,
+    f"{_ADOPTED} SELECT project_id, concept_id FROM pc UNION SELECT e.project_id, pc2.concept_id FROM pc2 JOIN e ON e.experiment_id = pc2.project_id WHERE pc2.concept_id IN (SELECT id FROM c)",
 )
 
 
 def _completed(concepts: DataFrame) -> DataFrame:
-    from quillstrata.sources.store import completed
-
     return completed(concepts, "concepts")
 
 
-# --- retraction sweep: the feed names the DOIs of sources without a version
+# --- retraction sweep: the feed names the DOIs of every other source
 def _feed(s: Snapshot) -> DataFrame:
-    return s.sources.where("identifier_type = 'doi'").select(F.col("id").alias("seq"), F.col("identifier_value").alias("doi"), F.when(F.col("version") == "", "").otherwise(F.concat(F.lit("Version "), "version")).alias("reason"), F.when(F.col("publisher") == "", "").otherwise("2024-05-01").alias("retraction_date"))
+    listed = s.sources.where("identifier_type = 'doi' AND id % 2 = 0")
+    reason = F.when(F.col("version") == "", "").otherwise(F.concat(F.lit("Version "), "version"))
+    return listed.select(F.col("id").alias("seq"), F.col("identifier_value").alias("doi"), reason.alias("reason"), F.when(F.col("publisher") == "", "").otherwise("2024-05-01").alias("retraction_date"))
 
 
+_SWEPT = """, feed AS (SELECT identifier_value AS doi, arg_min(version, id) AS version, arg_min(publisher, id) AS publisher FROM s WHERE identifier_type = 'doi' AND id % 2 = 0 GROUP BY 1),
+due AS (SELECT s.id, feed.doi IS NOT NULL AS hit, CASE WHEN feed.version <> '' AND feed.publisher <> '' THEN 'Version ' || feed.version || ' (2024-05-01)' WHEN feed.version <> '' THEN 'Version ' || feed.version
+  WHEN feed.publisher <> '' THEN '2024-05-01' ELSE 'Retracted (Retraction Watch)' END AS note FROM s LEFT JOIN feed ON feed.doi = s.identifier_value WHERE s.identifier_type = 'doi' AND NOT s.retracted)"""
 _add(
     "retraction_sweep", lambda s: retracting.sweep(s, retracting.notes_from_feed(_feed(s)), _now())[0].sources.select("id", "retracted", "retraction_note", "last_checked_at"),
-    f"""SELECT id, retracted OR identifier_type = 'doi' AS retracted, CASE WHEN identifier_type = 'doi' AND NOT retracted THEN
-      CASE WHEN version <> '' AND publisher <> '' THEN 'Version ' || version || ' (2024-05-01)' WHEN version <> '' THEN 'Version ' || version WHEN publisher <> '' THEN '2024-05-01' ELSE 'Retracted (Retraction Watch)' END
-      ELSE retraction_note END AS retraction_note, CASE WHEN identifier_type = 'doi' AND NOT retracted THEN {NOW} ELSE last_checked_at END AS last_checked_at FROM s""",
+    f"""{_SWEPT} SELECT s.id, retracted OR coalesce(hit, false) AS retracted, CASE WHEN hit THEN note ELSE retraction_note END AS retraction_note,
+      CASE WHEN due.id IS NOT NULL THEN {NOW} ELSE last_checked_at END AS last_checked_at FROM s LEFT JOIN due ON due.id = s.id""",
 )
-_add("retraction_counts", lambda s: retracting.sweep(s, retracting.notes_from_feed(_feed(s)), _now())[1], "SELECT count(*) AS checked, count(*) AS updated FROM s WHERE identifier_type = 'doi' AND NOT retracted")
+_add("retraction_counts", lambda s: retracting.sweep(s, retracting.notes_from_feed(_feed(s)), _now())[1], f"{_SWEPT} SELECT count(*) AS checked, count(*) FILTER (hit) AS updated FROM due")

@@ -2,7 +2,10 @@
 
 Observations are the first record of each uuid (a second store: the last one),
 with the time of its receipt; projects and concepts are found by key. Projects
-carry the concepts of their decisions. An observation cites one source.
+carry the concepts of their decisions. An observation cites one source, or none;
+every fourth source is cited by none. The second store's sources have ids of
+their own; some are the first one's, some share only the identifier or only the
+uuid, some are new.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ def store_of(spark: SparkSession, folder: str, second: bool = False, pinned: boo
 
     projects, concepts = plain(f"projects{tail}", "projects"), plain(f"concepts{tail}", "concepts")
     sources = plain("sources", "sources").withColumn("retracted", F.coalesce("retracted", F.lit(False)))
+    if second:
+        id_ = F.col("id")
+        apart = F.when((id_ % 5 == 0) | (id_ % 7 == 0), F.concat(F.lit("b-"), F.col("uuid"))).otherwise(F.col("uuid"))
+        value = F.when(id_ % 7 == 0, "").when(id_ % 11 == 0, F.concat("identifier_value", F.lit("-b"))).otherwise(F.col("identifier_value"))
+        sources = sources.withColumns({"uuid": apart, "identifier_value": value, "id": id_ * 2 + 1})
     keys_p = projects.select(F.col("id").alias("project_id"), uuid_key(F.col("uuid")).alias("pk")).where("pk IS NOT NULL").groupBy("pk").agg(F.min("project_id").alias("project_id"))
     keys_c = concepts.select(F.col("id").alias("concept_id"), uuid_key(F.col("uuid")).alias("ck")).where("ck IS NOT NULL").groupBy("ck").agg(F.min("concept_id").alias("concept_id"))
     records = table(spark, folder, "observation_records").withColumn("k", uuid_key(F.col("uuid"))).where("k IS NOT NULL")
@@ -46,7 +54,7 @@ def store_of(spark: SparkSession, folder: str, second: bool = False, pinned: boo
     ids = observations.select(F.col("id").alias("observation_id"), F.col("uuid").alias("k"), "project_id", "kind")
     linked = links.join(ids, "k").join(keys_c, "ck")
     last = sources.agg(F.max("id").alias("last"))
-    cited = observations.select("id").crossJoin(F.broadcast(last)).select(F.col("id").alias("observation_id"), (1 + F.pmod(F.col("id") * 13, F.col("last"))).alias("source_id"))
+    cited = observations.select("id").crossJoin(F.broadcast(last)).select(F.col("id").alias("observation_id"), (1 + F.pmod(F.col("id") * 13, F.col("last"))).alias("source_id")).where("source_id % 4 <> 3")
     store = Snapshot(
         projects=projects,
         observations=observations,
@@ -81,6 +89,11 @@ def _text(alias: str, kind: str) -> str:
     return f"SELECT {', '.join(names)} FROM main.{alias}"
 
 
+def _second_sources(sql: str) -> str:
+    return f"""SELECT * REPLACE (2 * id + 1 AS id, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN 'b-' || uuid ELSE uuid END AS uuid,
+  CASE WHEN id % 7 = 0 THEN '' WHEN id % 11 = 0 THEN identifier_value || '-b' ELSE identifier_value END AS identifier_value) FROM ({sql})"""
+
+
 def store_sql(second: bool = False, tail: str = "") -> str:
     """Common table expressions p, o, c, s, oc, pc, os of the same store for DuckDB; ``tail`` is added to their names."""
     copy, order = ("_copy", "DESC") if second else ("", "ASC")
@@ -88,7 +101,7 @@ def store_sql(second: bool = False, tail: str = "") -> str:
     return f"""
 p{t} AS ({_text('projects' + copy, 'projects')}),
 c{t} AS ({_text('concepts' + copy, 'concepts')}),
-s{t} AS ({_text('sources', 'sources')}),
+s{t} AS ({_second_sources(_text('sources', 'sources')) if second else _text('sources', 'sources')}),
 kp{t} AS (SELECT {_KEY.format('uuid')} AS pk, min(id) AS project_id FROM p{t} GROUP BY 1),
 kc{t} AS (SELECT {_KEY.format('uuid')} AS ck, min(id) AS concept_id FROM c{t} GROUP BY 1),
 orec{t} AS (SELECT *, {_KEY.format('uuid')} AS k FROM main.observation_records),
@@ -101,5 +114,5 @@ lk{t} AS (SELECT DISTINCT o{t}.id AS observation_id, kc{t}.concept_id, o{t}.proj
 oc{t} AS (SELECT DISTINCT observation_id, concept_id FROM lk{t}),
 pc{t} AS (SELECT DISTINCT project_id, concept_id FROM lk{t} WHERE kind = 'decision' AND project_id IS NOT NULL),
 os{t} AS (SELECT o{t}.id AS observation_id, s{t}.id AS source_id, CASE WHEN o{t}.id % 3 = 0 THEN 'retrieved' ELSE 'cited' END AS relationship
-  FROM o{t} JOIN s{t} ON s{t}.id = 1 + (o{t}.id * 13) % (SELECT max(id) FROM s{t}))
+  FROM o{t} JOIN s{t} ON s{t}.id = 1 + (o{t}.id * 13) % (SELECT max(id) FROM s{t}) WHERE s{t}.id % 4 <> 3)
 """
