@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstrata.operators.writing import first_wins, link, upsert_projects, upsert_sources
-from quillstrata.sources.store import Snapshot, completed
+from quillstrata.session import materialise
+from quillstrata.sources.store import Snapshot, completed, uuid_v7
 
 # What stands around the DOI in the title of a promoted citation.
 PROMOTED_TITLE = ("Source (DOI: ", ")")
@@ -59,3 +60,26 @@ def adopt_legacy(s: Snapshot, experiments: DataFrame, concept_links: DataFrame,
         observations = observations.join(of.withColumnRenamed("project_id", "_p"), "experiment_id", "left").withColumn("project_id", F.coalesce("project_id", "_p"))
     links = concept_links.join(of, "experiment_id").select("project_id", "concept_id", F.col("concept_id").alias("seq"))
     return link(grown.with_tables(observations=completed(observations, "observations")), "project_concepts", links, check=False)
+
+
+def migrated(s: Snapshot, now: Column) -> tuple[Snapshot, set[str]]:
+    """The store brought up to date, and the names of the tables that changed; done again it changes nothing.
+
+    Fresh values are random: what gets any is written before it is used.
+    """
+    changed: set[str] = set()
+    if not s.concepts.where("created_at IS NULL").isEmpty():
+        s, changed = backfill_created_at(s, now), changed | {"concepts"}
+    known = s.sources.where("identifier_type = 'doi'").select(F.col("identifier_value").alias("source_doi"))
+    if not s.observations.where("source_doi <> ''").join(known, "source_doi", "left_anti").isEmpty():
+        grown = promote_dois(s, now, uuid_v7(now))
+        s = s.with_tables(sources=materialise(grown.sources, "sources"))
+        changed |= {"sources", "observation_sources"}
+    linked = link_promoted(s).observation_sources
+    if "observation_sources" in changed or not linked.exceptAll(s.observation_sources).isEmpty():
+        s, changed = s.with_tables(observation_sources=linked), changed | {"observation_sources"}
+    for name in ("projects", "observations", "concepts", "sources"):
+        df = getattr(s, name)
+        if not df.where("coalesce(uuid, '') = ''").isEmpty():
+            s, changed = s.with_tables(**{name: materialise(backfill_uuids(df, uuid_v7(now)), name)}), changed | {name}
+    return s, changed

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstrata.sources.store import SCHEMAS, Snapshot
@@ -13,6 +13,10 @@ SOURCE_LIST = ("id", "title", "identifier_type", "identifier_value", "retracted"
 SOURCE_COLUMNS = ("id", "title", "identifier_type", "identifier_value", "authors", "published_date", "publisher", "rights", "version", "retracted", "retraction_note")
 
 
+#: Days of the spans within which a project's observations are put in order.
+DAYS = 7
+
+
 class NotFound(LookupError):
     """A record that had to be there is not."""
 
@@ -32,18 +36,29 @@ def project_by_id(s: Snapshot, project_id: int) -> DataFrame:
 
 
 def observations_of(s: Snapshot, project_id: int | None = None) -> DataFrame:
-    """Of one project, or of all with their place ``nth`` per project: newest first, equal times by id downwards."""
+    """Of one project, or of all with their place ``nth`` per project: newest first, equal times by id downwards.
+
+    A project may hold much of all rows, so places are counted within spans of
+    DAYS days and the days' totals, of which there are few, are added up.
+    """
     rows = s.observations.where(F.col("project_id").isNotNull() if project_id is None else F.col("project_id") == project_id)
-    return rows.withColumn("nth", F.row_number().over(newest_first())).select(*OBSERVATION_COLUMNS, "nth")
+    rows = rows.select(*OBSERVATION_COLUMNS, F.coalesce(F.floor(F.unix_seconds("created_at") / (86_400 * DAYS)), F.lit(-(1 << 40))).alias("span"))
+    totals = rows.groupBy("project_id", "span").agg(F.count("*").alias("n"))
+    later = F.sum("n").over(Window.partitionBy("project_id").orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1))
+    before = totals.select("project_id", "span", F.coalesce(later, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("project_id", "span").orderBy(F.desc("created_at"), F.desc("id")))
+    return rows.withColumn("within", within).join(before, ["project_id", "span"]).select(*OBSERVATION_COLUMNS, (F.col("before") + F.col("within")).cast("int").alias("nth"))
 
 
 def newest_first():
+    """For the first few of each project: what is beyond them is dropped before the shuffle."""
     return Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def recent_observations(s: Snapshot, n: int, project_id: int | None = None) -> DataFrame:
     """The n newest of a project or of each; each partition keeps its own n before the shuffle."""
-    return observations_of(s, project_id).where(F.col("nth") <= n)
+    rows = s.observations.where(F.col("project_id").isNotNull() if project_id is None else F.col("project_id") == project_id)
+    return rows.withColumn("nth", F.row_number().over(newest_first())).where(F.col("nth") <= n).select(*OBSERVATION_COLUMNS, "nth")
 
 
 def observation_by_id(s: Snapshot, observation_id: int) -> DataFrame:
@@ -66,13 +81,6 @@ def source_by_id(s: Snapshot, source_id: int) -> DataFrame:
     return s.sources.where(F.col("id") == source_id).select(*SOURCE_COLUMNS)
 
 
-def required(df: DataFrame, what: str) -> DataFrame:
-    """``df``, or NotFound if it has no row."""
-    if not df.limit(1).count():
-        raise NotFound(what)
-    return df
-
-
 def unretracted_dois(s: Snapshot) -> DataFrame:
     return s.sources.where("identifier_type = 'doi' AND NOT retracted").select("id", F.col("identifier_value").alias("doi"))
 
@@ -111,11 +119,4 @@ def removable_sources(s: Snapshot) -> DataFrame:
     return s.sources.join(s.observation_sources.select(F.col("source_id").alias("id")), "id", "left_anti").select("id", "title")
 
 
-def all_of(*conditions: Column) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
 assert set(SOURCE_COLUMNS) <= set(SCHEMAS["sources"].names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.operators.reading import newest_first, project_summary
+from quillstrata.operators.reading import newest_first, observations_of, project_summary
 from quillstrata.sources.store import Snapshot
 
 #: Newest observations that the summary shows of each project.
@@ -59,7 +59,7 @@ def markdown_lines(s: Snapshot, project_id: int | None = None) -> DataFrame:
     )
     headers = heads.select("created_at", F.col("id").alias("project_id"), F.lit(0).alias("part"), F.lit(0).alias("nth"), head.alias("text"))
     of = chosen.select(F.col("id").alias("project_id"), F.col("created_at").alias("project_created"))
-    notes = s.observations.join(of, "project_id").withColumn("nth", F.row_number().over(newest_first())).select(
+    notes = observations_of(s.with_tables(observations=s.observations.join(of.select("project_id"), "project_id", "left_semi"))).join(of, "project_id").select(
         F.col("project_created").alias("created_at"), "project_id", F.lit(1).alias("part"), "nth", F.concat(F.lit("**["), "kind", F.lit("]** "), "body", F.lit("\n\n")).alias("text")
     )
     none = chosen.join(s.observations.select(F.col("project_id").alias("id")), "id", "left_anti").select("created_at", F.col("id").alias("project_id"), F.lit(1).alias("part"), F.lit(1).alias("nth"), F.lit(NO_OBSERVATIONS).alias("text"))

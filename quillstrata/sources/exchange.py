@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstrata.operators.reading import NotFound
@@ -22,7 +22,8 @@ RECORDS: Mapping[str, tuple[str, ...]] = {
     "project_concept": ("project_uuid", "concept_uuid"),
     "observation_source": ("observation_uuid", "source_uuid", "relationship"),
 }
-MALFORMED_SHOWN = 5
+#: Blocks of files whose numbers are given to every task.
+BLOCKS = 10_000
 
 
 class Malformed(ValueError):
@@ -95,9 +96,20 @@ def write_lines(s: Snapshot, path: str, project: str | None = None) -> int:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``(line_no, line)`` of one file: the line's number is its place in the file, from 1."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1] + 1, x[0]))
-    return spark.createDataFrame(rows, "line_no long, line string")
+    """Rows ``(line_no, line)`` of a file, or of files in the order of their names: numbers rise with the places of the lines.
+
+    Lines come by blocks of the files; a block's place in its file and the
+    line's within the block give the order, and the blocks' totals the numbers.
+    """
+    return numbered_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")))
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``(line_no, line)`` of ``(value, path, block)`` as Spark reads them: each block is read by one task, in order."""
+    placed = materialise(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
+    blocks = placed.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before) if before.limit(BLOCKS + 1).count() <= BLOCKS else before, ["path", "block"]).select((F.col("before") + F.col("row") - F.col("first") + 1).alias("line_no"), F.col("value").alias("line"))
 
 
 def parsed_lines(lines: DataFrame, check: bool = True) -> DataFrame:
@@ -205,8 +217,6 @@ def import_parsed(s: Snapshot, parsed: DataFrame, now: Column) -> tuple[Snapshot
         imported = part if imported is None else imported.unionByName(part)
     counted = read.join(imported, "type", "left").withColumn("imported", F.coalesce("imported", F.lit(0)))
     known = F.col("type").isin(*RECORDS)
-    from pyspark.sql import Window
-
     summary = counted.select(
         F.row_number().over(Window.orderBy("first")).alias("nth"), "type", "read", "imported", F.when(known, F.col("read") - F.col("imported")).otherwise(0).alias("skipped")
     )

@@ -1,20 +1,20 @@
 """The store: seven tables as one immutable snapshot, kept in versioned folders.
 
 A snapshot is a set of DataFrames. Operations take snapshots and give new ones;
-nothing is changed in place. On disk each version is a folder of parquet tables
-and a small file names the version that holds. A writer writes a whole new
-version and then puts the file in place, so a reader sees one version or the
-next, never a part. One writer at a time: a lock file is created exclusively.
+nothing is changed in place. On disk a version is a small file that names the
+folder of each table; a writer writes the tables that changed, then the file of
+the next version, so a reader sees one version or the next, never a part. Files
+are made through Hadoop's file system, so a store may lie wherever executors
+can write; a version's file is created exclusively, so of two writers one wins
+and the other is refused.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid as uuid_module
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,57 +82,103 @@ def completed(df: DataFrame, table: str) -> DataFrame:
 
 def default_path(root: str) -> str:
     """Where a workspace keeps its store."""
-    return str(Path(root) / "agents" / "notes.store")
+    return f"{root.rstrip('/') or '.'}/agents/notes.store"
 
 
-class Store:
-    """Versions of a snapshot in a folder.
+class Files:
+    """Small files through Hadoop's file system, whatever the scheme of their path."""
 
-    ``path`` is a folder all executors see. Versions are immutable; ``read`` pins one.
-    """
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self.root = self._path(folder)
+        self._fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, str(path)
-        Path(self.path).mkdir(parents=True, exist_ok=True)
+    def names(self) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self.root)] if self._fs.exists(self.root) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(self.root, name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """False if there is such a file already."""
+        try:
+            stream = self._fs.create(self._path(self.root, name), False)
+        except Exception as error:  # the JVM's, of whatever file system
+            if "AlreadyExists" in str(error) or self._fs.exists(self._path(self.root, name)):
+                return False
+            raise
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(self.root, name), True)
 
-    @property
-    def _pointer(self) -> Path:
-        return Path(self.path) / "CURRENT"
+
+class Store:
+    """Versions of a snapshot in a folder that all executors see: a path or a URI. Versions are immutable; ``read`` pins one."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, str(path).rstrip("/")
+        self._files = Files(spark, self.path)
 
     def version(self) -> int:
         """The current version; 0 for a store that holds nothing yet."""
-        return json.loads(self._pointer.read_text())["version"] if self._pointer.exists() else 0
+        return max((int(n[1:-5]) for n in self._files.names() if n.startswith("v") and n.endswith(".json")), default=0)
+
+    def _folders(self, version: int) -> dict[str, str]:
+        return json.loads(self._files.read(f"v{version:08d}.json")) if version else {}
 
     def read(self, version: int | None = None) -> Snapshot:
         """The tables of a version, the current one if not said; older schemas are completed."""
-        at = self.version() if version is None else version
+        folders = self._folders(self.version() if version is None else version)
+        return Snapshot(
+            **{
+                name: completed(self.spark.read.parquet(f"{self.path}/{folders[name]}"), name) if name in folders else self.spark.createDataFrame([], schema)
+                for name, schema in SCHEMAS.items()
+            }
+        )
+
+    def open(self, now: Column | None = None) -> Snapshot:
+        """The current version brought up to date: schemas completed, times and uuids filled in, cited DOIs promoted; written if that changed anything."""
+        from quillstrata.operators.migrating import migrated
+
+        at = self.version()
         if not at:
             return Snapshot.empty(self.spark)
-        folder = Path(self.path) / f"v{at:08d}"
-        return Snapshot(**{name: completed(self.spark.read.parquet(str(folder / name)), name) if (folder / name).exists() else self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()})
-
-    def write(self, snapshot: Snapshot) -> int:
-        """Write a whole new version, then make it the current one; the number of the version."""
-        lock = Path(self.path) / "LOCK"
-        try:
-            handle = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError:
-            raise RuntimeError(f"another writer holds {lock}") from None
-        try:
-            at = self.version() + 1
-            folder = Path(self.path) / f"v{at:08d}"
-            for name, df in snapshot.tables().items():
-                completed(df, name).write.mode("overwrite").parquet(str(folder / name))
-            fresh = Path(self.path) / f"CURRENT.{uuid_module.uuid4().hex}"
-            fresh.write_text(json.dumps({"version": at}))
-            os.replace(fresh, self._pointer)
-            return at
-        finally:
-            os.close(handle)
-            lock.unlink()
+        before = self.read(at)
+        after, changed = migrated(before, F.date_trunc("second", F.current_timestamp()) if now is None else now)
+        if changed:
+            self.write(after, changed, at)
+            return self.read()
+        return before
+
+    def write(self, snapshot: Snapshot, changed: Mapping[str, object] | None = None, base: int | None = None) -> int:
+        """Write the tables named in ``changed`` (all, if not said), then the next version's file; its number.
+
+        ``base``: the version the snapshot was made from. RuntimeError if
+        another writer has written one since; nothing of this one holds then.
+        """
+        current = self.version()
+        at = (current if base is None else base) + 1
+        folders = self._folders(at - 1)
+        for name, df in snapshot.tables().items():
+            if changed is None or name in changed or name not in folders:
+                folders[name] = f"{name}-{uuid_module.uuid4().hex}"
+                completed(df, name).write.parquet(f"{self.path}/{folders[name]}")
+        if current >= at or not self._files.create(f"v{at:08d}.json", json.dumps(folders)):
+            raise RuntimeError(f"another writer has written version {at} of {self.path}")
+        return at
 
     def close(self) -> None:
-        self.spark.catalog.clearCache()
+        """Nothing is held open: versions are files."""
 
 
 def broken_references(snapshot: Snapshot) -> DataFrame:

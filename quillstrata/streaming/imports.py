@@ -7,17 +7,15 @@ the store's version is the only state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillstrata.sources.exchange import import_lines
+from quillstrata.sources.exchange import RECORDS, import_lines, numbered_lines
 from quillstrata.sources.store import Store
 
-
-def numbered(batch: DataFrame) -> DataFrame:
-    """``(line_no, line)`` of a batch of ``(path, value)``: files by name; lines of a file in no promised order, by their text."""
-    return batch.where(F.trim("value") != "").select(F.row_number().over(Window.orderBy("path", "value")).cast("long").alias("line_no"), F.col("value").alias("line"))
+#: The tables of the record types.
+TABLES = {kind: f"{kind}s" for kind in RECORDS}
 
 
 def follow(spark: SparkSession, folder: str, store: Store, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -26,16 +24,15 @@ def follow(spark: SparkSession, folder: str, store: Store, checkpoint: str, once
     A batch with a malformed line stops the query before anything of it is
     written. Batches are files of hand-written notes, small by nature.
     """
-    lines = spark.readStream.format("text").load(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = spark.readStream.format("text").load(folder).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
     def run(batch: DataFrame, _: int) -> None:
-        held = numbered(batch).persist()
-        try:
-            if held.limit(1).count():
-                grown, _summary = import_lines(store.read(), held)
-                store.write(grown)
-        finally:
-            held.unpersist()
+        held = numbered_lines(batch)
+        if not held.isEmpty():
+            at = store.version()
+            grown, summary = import_lines(store.read(at), held)
+            new = {r.type for r in summary.where("imported > 0").collect()}
+            store.write(grown, {TABLES[kind] for kind in new}, at)
 
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

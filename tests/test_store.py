@@ -39,9 +39,16 @@ def test_versions(spark, tmp_path):
     assert (store.read(1).projects.count(), store.read().projects.count()) == (2, 1)
     assert broken_references(store.read()).select("tbl", "value").collect() == [("observations", 2)]
     assert repeated_keys(s).count() == 0
-    (tmp_path / "store" / "LOCK").touch()
-    with pytest.raises(RuntimeError):
-        store.write(s)
+    with pytest.raises(RuntimeError):  # another writer went on from the same version
+        store.write(s, base=1)
+    assert store.write(s, {"projects"}) == 3 and store._folders(3)["concepts"] == store._folders(2)["concepts"] != store._folders(3)["projects"]
+    assert Store(spark, f"file://{tmp_path}/store").read().projects.count() == 2
+    bare = s.with_tables(concepts=s.concepts.withColumns({"uuid": F.lit(""), "created_at": F.lit(None).cast("timestamp")}))
+    store.write(bare)
+    opened = store.open(now())
+    assert {(len(r.uuid), r.origin_host, r.created_at.year) for r in opened.concepts.collect()} == {(36, "unknown", 2030)}
+    assert opened.sources.count() == 2 and opened.observation_sources.count() == 2  # the cited DOI is a source now
+    assert store.version() == 5 and store.open(now()) and store.version() == 5
     old = s.concepts.drop("identifier_type", "uuid")
     assert completed(old, "concepts").columns == SCHEMAS["concepts"].names
     ids = [r[0] for r in spark.range(50).select(uuid_v7(F.current_timestamp())).collect()]
