@@ -57,27 +57,34 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from quillstrata.operators.references import orphan_references
 
     observations, links = table(spark, folder, "observation_records"), table(spark, folder, "observation_concept_records")
+    # names travel as numbers: their places here
+    held = ("projects", "concepts", "observations")
+    fields = (("observation_records", "project_uuid", "projects"), ("observation_concept_records", "observation_uuid", "observations"), ("observation_concept_records", "concept_uuid", "concepts"))
 
-    def reference(tbl: str, field: str, to: str) -> Column:
-        return F.struct(F.lit(to).alias("to"), uuid_key(F.col(field)).alias("k"), F.struct(F.lit(tbl).alias("tbl"), F.lit(field).alias("field"), F.col("rec_no").alias("rec_no")).alias("ref"))
+    def reference(i: int) -> Column:
+        _, field, to = fields[i]
+        number = F.lit(i).cast("byte")
+        return F.struct(F.lit(held.index(to)).cast("byte").alias("to"), uuid_key(F.col(field)).alias("k"), F.struct(number.alias("i"), F.col("rec_no").alias("rec_no")).alias("ref"))
 
-    references = observations.select("received_at", reference("observation_records", "project_uuid", "projects").alias("r")).select("received_at", "r.*").unionByName(
-        links.select(
-            "received_at",
-            F.explode(F.array(reference("observation_concept_records", "observation_uuid", "observations"), reference("observation_concept_records", "concept_uuid", "concepts"))).alias("r"),
-        ).select("received_at", "r.*")
+    references = observations.select("received_at", reference(0).alias("r")).select("received_at", "r.*").unionByName(
+        links.select("received_at", F.explode(F.array(reference(1), reference(2))).alias("r")).select("received_at", "r.*")
     )
     targets = None
-    for tbl, df, from_at in (("projects", table(spark, folder, "projects"), "created_at"), ("concepts", table(spark, folder, "concepts"), "created_at"), ("observations", observations, "received_at")):
-        part = df.select(F.lit(tbl).alias("tbl"), uuid_key(F.col("uuid")).alias("k"), F.col(from_at).alias("from_at"))
+    for i, (df, from_at) in enumerate(((table(spark, folder, "projects"), "created_at"), (table(spark, folder, "concepts"), "created_at"), (observations, "received_at"))):
+        part = df.select(F.lit(i).cast("byte").alias("tbl"), uuid_key(F.col("uuid")).alias("k"), F.col(from_at).alias("from_at"))
         targets = part if targets is None else targets.unionByName(part)
+    tombstones = table(spark, folder, "tombstones").where(F.col("tbl").isin(*held))
     found = orphan_references(
         references, "ref", [F.col("to"), F.col("k")], F.col("received_at"),
         targets, [F.col("tbl"), F.col("k")], F.col("from_at"),
-        table(spark, folder, "tombstones"), [F.col("tbl"), uuid_key(F.col("uuid"))],
+        tombstones, [(F.array_position(F.array(*map(F.lit, held)), F.col("tbl")) - 1).cast("byte"), uuid_key(F.col("uuid"))],
         match="simple",
     )
-    return found.select("row_id.tbl", "row_id.field", "row_id.rec_no", "reason", or_empty(F.date_format("seen_at", "yyyy-MM")).alias("period"))
+
+    def name(at: int) -> Column:
+        return F.array(*(F.lit(f[at]) for f in fields))[F.col("row_id.i").cast("int")]
+
+    return found.select(name(0).alias("tbl"), name(1).alias("field"), "row_id.rec_no", "reason", or_empty(F.date_format("seen_at", "yyyy-MM")).alias("period"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
