@@ -40,8 +40,3 @@ def uuid_key(value: Column) -> Column:
 def or_empty(value: Column) -> Column:
     """Absent is the empty string in most places and null in some: make it one."""
     return F.coalesce(value, F.lit(""))
-
-
-def is_blank(value: Column) -> Column:
-    """True for null, empty and nothing but white space or invisible signs of any script."""
-    return F.coalesce(~value.rlike(r"[^\s\p{Z}\p{Cf}]"), F.lit(True))

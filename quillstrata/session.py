@@ -86,10 +86,3 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checked_broadcast(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
-    """Broadcast ``df`` only while ``rows`` (counted by the caller) is within the bound."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if rows <= most_rows else df

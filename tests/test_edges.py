@@ -38,6 +38,23 @@ def test_stream_and_commands(spark, tmp_path, capsys):
     assert Store(spark, str(tmp_path / "other")).read().projects.count() == 1
 
 
+def test_writing_commands(spark, tmp_path, capsys):
+    def run(*argv):
+        code = cli.main(["--store", str(tmp_path / "store"), *argv])
+        return code, capsys.readouterr()
+
+    assert run("project-add", "alpha", "--description", "first") == (0, ("1\n", ""))
+    assert run("observation-add", "alpha", "note", "glacier seen", "--doi", "10.1/x")[1].out == "2\n"
+    assert run("concept-add", "ice")[0] == run("link-concept", "alpha", "ice")[0] == run("link-observation", "1", "ice")[0] == 0
+    assert run("source-add", "a page")[0] == run("link-source", "1", "1")[0] == run("source-retract", "1", "wrong")[0] == 0
+    assert run("project-set-status", "alpha", "paused")[0] == 0
+    for refused in (("project-set-status", "alpha", "odd"), ("observation-add", "beta", "note", "b"), ("observation-add", "alpha", "odd", "b"), ("source-remove", "1"), ("link-concept", "alpha", "none")):
+        assert run(*refused)[0] == 1
+    s = Store(spark, str(tmp_path / "store")).read()
+    assert [(r.name, r.status, r.description, len(r.uuid)) for r in s.projects.collect()] == [("alpha", "paused", "first", 36)]
+    assert s.observation_sources.collect() == [(1, 1, "cited")] and s.sources.first().retracted and s.project_concepts.collect() == s.observation_concepts.collect() == [(1, 1)]
+
+
 def test_trace(tmp_path):
     from quillstrata.trace import Trace
 
